@@ -1,8 +1,8 @@
 """Secret scans (operator 4): one combined deterministic automaton.
 
 All rules are compiled together, by subset construction and minimisation, into
-one transition table that reads each byte once. A text in which no rule can end
-is done after that pass. In the others the table's accepting positions are
+one transition table that reads each byte once and accepts where a rule's
+shortest match ends. A text without such a place is done after that pass. In the others the table's accepting positions are
 listed, and for each rule the leftmost start is found by the reverse automaton
 and the longest end by the rule's own automaton, both over the found span only.
 
@@ -35,23 +35,32 @@ from .common import id_and_text, raw_bytes
 class Rule(NamedTuple):
     kind: str
     head: str
-    tail: str
+    tail: str  # a class; the match goes on as long as its bytes do
     least: int = 0  # of the tail if ``of_tail``, else of the match
     of_tail: bool = False
     any_case: bool = False
+    first: int = 1  # tail bytes that the automaton waits for
+
+    @property
+    def shortest(self) -> str:
+        return self.head + (f"{self.tail}{{{self.first}}}" if self.tail else "")
+
+    @property
+    def whole(self) -> str:
+        return self.head + (f"{self.tail}{{{self.first},}}" if self.tail else "")
 
 
 BASE = (
-    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]+", 8, True, True),
-    Rule("access", "AKIA", "[A-Z0-9]+", 16),
-    Rule("hex", "", "[0-9a-f]{6,}", 32),  # shorter runs would be dropped anyhow; six keep the automaton small
+    Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]", 8, True, True),
+    Rule("access", "AKIA", "[A-Z0-9]", 16),
+    Rule("hex", "", "[0-9a-f]", 32, first=6),  # shorter runs would be dropped anyhow; six keep the automaton small
 )
 ADDED = (
-    Rule("github", "gh[pousr]_", "[A-Za-z0-9]+", 40),
-    Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]+", 15),
-    Rule("google", "AIza", "[0-9A-Za-z_-]+", 39),
-    Rule("stripe", "sk_(live|test)_", "[0-9A-Za-z]+", 24),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.", "[A-Za-z0-9_-]+", 20),
+    Rule("github", "gh[pousr]_", "[A-Za-z0-9]", 40),
+    Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]", 15),
+    Rule("google", "AIza", "[0-9A-Za-z_-]", 39),
+    Rule("stripe", "sk_(live|test)_", "[0-9A-Za-z]", 24),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.", "[A-Za-z0-9_-]", 20),
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", ""),
 )
 
@@ -65,14 +74,14 @@ class Scanner:
         self.rules = rules
         nfa, starts, tags = Nfa(), [], {}
         for k, r in enumerate(rules):
-            _, first, last = parse(r.head + r.tail, r.any_case, nfa)
+            _, first, last = parse(r.shortest, r.any_case, nfa)
             starts.append(first)
             tags[last] = k
         self.dfa = Dfa(nfa, starts, tags, loop=True)
         self.rows, self.found = _linked(self.dfa)
         self.parts = []
         for r in rules:
-            one, first, last = parse(r.head + r.tail, r.any_case)
+            one, first, last = parse(r.whole, r.any_case)
             whole, back = Dfa(one, [first], {last: 0}), Dfa(one.reversed(), [last], {first: 0})
             two, a, b = parse(r.head, r.any_case)
             self.parts.append((whole, back, Dfa(two, [a], {b: 0})))
