@@ -1,49 +1,21 @@
 """Shared plumbing of the training-data operators.
 
 Tables that cut lineage and files that several executors need are put in the
-folder named by ``spark.checkpoint.dir``; a private folder is used only where
-that setting is absent (local tests).
+folder named by ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-import atexit
 import json
 import os
-import shutil
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as a URI without a trailing slash."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _OWN:
-        own = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        os.makedirs(own)
-        _OWN.append(f"file://{own}")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-    return _OWN[0]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends
-    here, so a lost executor costs a reread and nothing upstream runs twice."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from twinfold.plans.storage import save, scratch, shared_dir  # noqa: F401
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -77,6 +49,13 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that Python objects of few texts live at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _local(uri: str) -> str | None:
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_and_text, raw_bytes
+from .common import id_and_text, raw_bytes, slices
 from .wordhash import SPACE, Words, chunks, mix
 
 WINDOW = 8
@@ -150,7 +150,7 @@ def judge(docs: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
     order = [rules[name] for name in _sampled_order(docs, rules)]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             texts = raw_bytes(batch.column("text"))
             n = len(texts)
             stats = [np.fromiter(map(f, texts), np.int64, n) for f in (n_words, word_chars, n_symbols, n_dup_lines)]
@@ -169,7 +169,7 @@ def filter_documents(docs: DataFrame, rules: dict[str, Rule] = RULES, text: str
     at = docs.columns.index(text)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             texts = raw_bytes(batch.column(at))
             counts = np.fromiter(map(n_words, texts), np.int64, len(texts))
             alive = counts >= MIN_WORDS

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .automaton import Dfa, Nfa, parse
-from .common import id_and_text, raw_bytes
+from .common import id_and_text, raw_bytes, slices
 
 
 class Rule(NamedTuple):
@@ -174,7 +174,7 @@ def find_secrets(docs: DataFrame, added: tuple[Rule, ...] = ADDED) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scanner(rules)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in raw_bytes(batch.column("text")):
                 spans = code_points(text, own.spans(text))
