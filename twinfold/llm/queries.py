@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup, packing, quality, secrets, token_files
+from . import hilbert, near_dup, packing, quality, secrets, token_files
 from .common import documents, scratch
 
 
@@ -24,6 +24,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = hilbert.shard_documents(documents(spark, sf_dir), 24)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.components(documents(spark, sf_dir), 85, 100)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -37,6 +42,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
+    "op6_hilbert_sharding": op6_hilbert_sharding,
     "op8_near_dedup": op8_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
