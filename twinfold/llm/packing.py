@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import ByteEncoder, encoder
-from .common import id_and_text, raw_bytes, save
+from .common import id_and_text, raw_bytes, save, slices
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -104,7 +104,7 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(kind, tokenizer), TaskContext.get().partitionId(), defaultdict(int)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), raw_bytes(batch.column("text")), strict=True):
                 ids = np.append(np.frombuffer(enc.encode(text), dtype=enc.dtype), np.asarray([end_id], enc.dtype)).astype("<u4")

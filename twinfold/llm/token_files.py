@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WordEncoder, encoder
-from .common import Store, id_and_text, raw_bytes, shuffle_partitions
+from .common import Store, id_and_text, raw_bytes, shuffle_partitions, slices
 
 STATS = "part string, first_id long, first_tie long, n_null long, n_docs long, n_tokens long"
 
@@ -54,7 +54,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2
         width = len(end)
         store, lengths, ids, nulls, first = Store(out), [], [], 0, None
         with store.create(f"{name}.bin") as f:
-            for batch in batches:
+            for batch in slices(batches):
                 keys = batch.column("doc_id")
                 nulls += keys.null_count
                 if first is None and batch.num_rows:
