@@ -118,3 +118,39 @@ class _Pending:
         to = f"{self.store.root}/{self.name}"
         if kind is None:
             os.replace(self.tmp, to) if self.store.fs is None else self.store.fs.move(self.tmp, to)
+
+
+class BitFilter:
+    """A filter of fixed size for 64-bit keys: never says no to one that was
+    put in. It spares a shuffle of rows that the exact join behind it would
+    drop; when there are too many keys for it, it lets more rows through."""
+
+    BITS = 24
+
+    def __init__(self, keys: DataFrame, column: str):
+        """2 MB at most reach the driver, 32768 bits to a row."""
+        spread = F.xxhash64(column).bitwiseAND((1 << self.BITS) - 1)
+        rows = keys.select(spread.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
+        size = 4096
+        data = bytearray(((1 << self.BITS) // 32768 + 2) * size)
+        for r in rows:
+            data[r.bucket * size : r.bucket * size + size] = r.bits
+        self.data = bytes(data)
+        self.sent = keys.sparkSession.sparkContext.broadcast(self.data)
+
+    def keep(self, df: DataFrame, column: str, invert: bool = False) -> DataFrame:
+        """The rows of ``df`` whose key may be in, or with ``invert`` the others; all columns."""
+        mark = fresh(df, "spread_")
+        sent, at = self.sent, len(df.columns)
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+
+            bits = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").astype(bool)
+            for batch in batches:
+                yield batch.select(range(at)).filter(pa.array(bits[batch.column(at).to_numpy(zero_copy_only=False)] != invert))
+
+        spread = F.xxhash64(column).bitwiseAND((1 << self.BITS) - 1)
+        place = F.bitmap_bucket_number(spread) * 32768 + F.bitmap_bit_position(spread)
+        return df.withColumn(mark, place).mapInArrow(each, df.schema)
+

@@ -37,7 +37,7 @@ from pyspark.sql.window import Window
 
 from twinfold.operators.components import connected_components
 
-from .common import fresh, id_and_text, raw_bytes, save, shuffle_partitions, slices
+from .common import BitFilter, fresh, id_and_text, raw_bytes, save, shuffle_partitions, slices
 from .wordhash import Words, chunks, mix
 
 WORDS = 5
@@ -234,33 +234,27 @@ def linked_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
     return forest
 
 
-def true_links(docs: DataFrame, members: DataFrame, num: int, den: int, words: int) -> DataFrame:
-    """Exact links within provisional clusters; ``members`` has row, doc_id, n_shingles, f1, f2, cluster."""
-    n = shuffle_partitions(docs.sparkSession)
+def to_blocks(members: DataFrame, row: str = "row") -> DataFrame:
+    """Add ``blocks``, how many parts a member's cluster is compared in, and ``block``, the member's."""
     sizes = save(members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "clusters")
-    wanted = members.select(F.col("doc_id").alias("id"))
-    texts = id_and_text(docs)
-    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id), "left_semi")
+    return members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64(row), F.col("blocks")).cast("int"))
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
-            sets = shingle_sets(raw_bytes(batch.column("text")), words)
-            prints = [fingerprint(s) for s in sets]
-            columns = [[len(s) for s in sets], [p[0] for p in prints], [p[1] for p in prints]]
-            arrays = [pa.array(c, type=pa.int64()) for c in columns] + [pa.array([s.tobytes() for s in sets], type=pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["n_shingles", "f1", "f2", "set"])
 
-    sets = texts.mapInArrow(to_sets, "n_shingles long, f1 long, f2 long, set binary")
-    placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
-    full = sets.join(placed.select("row", "n_shingles", "f1", "f2", "cluster", "blocks", "block"), ["n_shingles", "f1", "f2"])
+def exact_forest(full: DataFrame, payload: str, to_sets, num: int, den: int) -> DataFrame:
+    """(src, dst): a spanning forest of the true links of each cluster.
+
+    ``full`` has row, cluster, blocks, block and a payload from which
+    ``to_sets`` makes shingle sets. Every two blocks of a cluster meet in one
+    task, so each member is sent once for each block of its cluster.
+    """
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j")))
-    dealt = full.select("row", "set", "cluster", F.explode(others).alias("pair")).select("cluster", "pair.i", "pair.j", "row", "set")
+    dealt = full.select("row", payload, "cluster", F.explode(others).alias("pair")).select("cluster", "pair.i", "pair.j", "row", payload)
+    n = shuffle_partitions(full.sparkSession)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in runs(batches, ["cluster", "i", "j"]):
-            rows = table.column("row").to_numpy()
-            rows, one = np.unique(rows, return_index=True)  # a repeated id brings its class again
-            links = linked_sets([np.frombuffer(x, np.uint64) for x in table.column("set").take(one).to_pylist()], num, den)
+            rows, one = np.unique(table.column("row").to_numpy(), return_index=True)  # what came twice counts once
+            links = linked_sets(to_sets(table.column(payload).take(one).to_pylist()), num, den)
             if links:
                 a, b = np.asarray(links).T
                 yield pa.RecordBatch.from_arrays([pa.array(rows[a]), pa.array(rows[b])], names=["src", "dst"])
@@ -268,6 +262,24 @@ def true_links(docs: DataFrame, members: DataFrame, num: int, den: int, words: i
     return dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(link, "src long, dst long")
 
 
+def true_links(docs: DataFrame, members: DataFrame, num: int, den: int, words: int) -> DataFrame:
+    """Exact links within provisional clusters; ``members`` has row, doc_id, n_shingles, f1, f2, cluster."""
+    wanted = members.select(F.col("doc_id").alias("id"))
+    texts = BitFilter(wanted, "id").keep(id_and_text(docs), "doc_id")
+    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id), "left_semi")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1024):
+            own = shingle_sets(raw_bytes(batch.column("text")), words)
+            prints = [fingerprint(s) for s in own]
+            columns = [[len(s) for s in own], [p[0] for p in prints], [p[1] for p in prints]]
+            arrays = [pa.array(c, type=pa.int64()) for c in columns] + [pa.array([s.tobytes() for s in own], type=pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["n_shingles", "f1", "f2", "set"])
+
+    full = texts.mapInArrow(sets, "n_shingles long, f1 long, f2 long, set binary").join(to_blocks(members), ["n_shingles", "f1", "f2"])
+    return exact_forest(full, "set", lambda rows: [np.frombuffer(x, np.uint64) for x in rows], num, den)
+
+
 def components(docs: DataFrame, num: int = 85, den: int = 100, words: int = WORDS) -> DataFrame:
     """One row for each document: row, doc_id, n_shingles, f1, f2, component_id, and component_row, the row that stands for the component."""
     signed = save(sign(docs, words), "signed")

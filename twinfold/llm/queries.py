@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, near_dup, packing, quality, secrets, token_files
+from . import hilbert, line_dedup, near_dup, packing, quality, secrets, token_files
 from .common import documents, scratch
 
 
@@ -29,6 +29,10 @@ def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_counts(documents(spark, sf_dir))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dup.components(documents(spark, sf_dir), 85, 100)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
@@ -43,6 +47,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
     "op6_hilbert_sharding": op6_hilbert_sharding,
+    "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
