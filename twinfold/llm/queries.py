@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hilbert, line_dedup, near_dup, packing, quality, secrets, token_files
+from . import decontaminate, hilbert, line_dedup, near_dup, packing, quality, secrets, token_files
 from .common import documents, scratch
 
 
@@ -24,6 +24,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
 def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = hilbert.shard_documents(documents(spark, sf_dir), 24)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_token_files": op1_token_files,
     "op3_quality_rules": op3_quality_rules,
     "op4_secret_scan": op4_secret_scan,
+    "op5_decontamination": op5_decontamination,
     "op6_hilbert_sharding": op6_hilbert_sharding,
     "op7_line_dedup": op7_line_dedup,
     "op8_near_dedup": op8_near_dedup,
