@@ -6,7 +6,6 @@ those with more than ``max_nodes`` representations are reported, not refined.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
