@@ -110,8 +110,9 @@ def union_estimate(sketches: np.ndarray, pivot: np.ndarray) -> np.ndarray:
 
 
 def canopies(sketches: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
-    """Links (pivot, member) of one list. Whoever is close to a pivot needs none
-    of its own: a text within the threshold of it is then in the pivot's reach."""
+    """Links (pivot, member) of one list, none that earlier links imply. Whoever
+    is close to a pivot needs none of its own: a text within the threshold of it
+    is then in the pivot's reach."""
     b = len(sketches)
     if b < 2:
         return []
@@ -127,6 +128,7 @@ def canopies(sketches: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
     have = real.sum(1)
     popular = np.bincount(owner, weights=np.diff(cut)[ids], minlength=b)
     active, links = np.ones(b, bool), []
+    group = np.arange(b)
     for p in np.argsort(-popular, kind="stable"):
         if not active[p]:
             continue
@@ -137,7 +139,11 @@ def canopies(sketches: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
         if not len(near):
             continue
         guess = union_estimate(sketches[near], sketches[p])
-        links += [(int(p), int(i)) for i in near[guess >= LOOSE]]
+        joined = near[guess >= LOOSE]
+        _, one = np.unique(group[joined], return_index=True)
+        new = [int(i) for i in joined[one] if group[i] != group[p]]
+        links += [(int(p), i) for i in new]
+        group[np.isin(group, group[new])] = group[p]
         active[near[guess >= TIGHT]] = False
     return links
 
@@ -163,6 +169,26 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
         yield now, pa.Table.from_batches(held)
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: list[str], *columns: str) -> Iterator[tuple[list, ...]]:
+    """The same as lists of some columns' values, for input of many small groups."""
+    held: tuple[list, ...] = tuple([] for _ in columns)
+    now = None
+    for batch in slices(batches, 2048):
+        own = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        values = [batch.column(c).to_pylist() for c in columns]
+        cut = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in own], axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            key = tuple(c[a] for c in own)
+            if key != now and held[0]:
+                yield held
+                held = tuple([] for _ in columns)
+            now = key
+            for x, v in zip(held, values, strict=True):
+                x += v[a:b]
+    if held[0]:
+        yield held
+
+
 def _padded(lists: pa.ChunkedArray) -> np.ndarray:
     rows = [np.asarray(x, np.float32) for x in lists.to_pylist()]
     out = np.full((len(rows), K), np.inf, np.float32)
@@ -203,6 +229,9 @@ def linked_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
     that at least two sets have, with those that no component has yet.
     """
     b = len(sets)
+    if b == 2:
+        common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(0, 1)] if common and den * common >= num * (len(sets[0]) + len(sets[1]) - common) else []
     sizes = np.fromiter(map(len, sets), np.int64, b)
     flat = np.concatenate(sets) if b else np.empty(0, np.uint64)
     owner = np.repeat(np.arange(b), sizes)
@@ -252,12 +281,31 @@ def exact_forest(full: DataFrame, payload: str, to_sets, num: int, den: int) ->
     n = shuffle_partitions(full.sparkSession)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in runs(batches, ["cluster", "i", "j"]):
-            rows, one = np.unique(table.column("row").to_numpy(), return_index=True)  # what came twice counts once
-            links = linked_sets(to_sets(table.column(payload).take(one).to_pylist()), num, den)
-            if links:
-                a, b = np.asarray(links).T
-                yield pa.RecordBatch.from_arrays([pa.array(rows[a]), pa.array(rows[b])], names=["src", "dst"])
+        held: list[tuple[list[int], list[bytes]]] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            sets = to_sets([x for _, own in held for x in own])
+            at, src, dst = 0, [], []
+            for rows, _ in held:
+                for a, b in linked_sets(sets[at : at + len(rows)], num, den):
+                    src.append(rows[a])
+                    dst.append(rows[b])
+                at += len(rows)
+            held.clear()
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+        waiting = 0
+        for rows, payloads in groups(batches, ["cluster", "i", "j"], "row", payload):
+            one = dict(zip(rows, payloads, strict=True))  # what came twice counts once
+            if len(one) > 1:
+                held.append((list(one), list(one.values())))
+                waiting += len(one)
+            if waiting >= 512:
+                yield from done()
+                waiting = 0
+        if held:
+            yield from done()
 
     return dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(link, "src long, dst long")
 
@@ -331,3 +379,20 @@ def deduplicate(docs: DataFrame, num: int = 80, den: int = 100, words: int = WOR
     tags = kept.groupBy(F.col("doc_id").alias(key), F.concat_ws(":", "n_shingles", "f1", "f2").alias("tag")).agg(F.count("*").alias("left"))
     few = few.join(tags, few[doc_id].eqNullSafe(F.col(key)) & (few[mark] == F.col("tag")) & (few[nth] <= F.col("left")), "left_semi")
     return rest.unionByName(few.select(*names))
+
+
+ORACLE = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+ends AS (SELECT x AS a, y AS b FROM links UNION SELECT y, x FROM links),
+lab AS (SELECT doc_id AS v, doc_id AS l FROM documents UNION SELECT ends.b, lab.l FROM lab JOIN ends ON ends.a = lab.v AND lab.l < ends.b),
+comp AS (SELECT v, min(l) AS component_id FROM lab GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN comp ON comp.v = d.doc_id
+"""

@@ -69,4 +69,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality.ORACLE,
+    "op8_near_dedup": near_dup.ORACLE,
 }
