@@ -127,30 +127,48 @@ class BitFilter:
 
     BITS = 24
 
-    def __init__(self, keys: DataFrame, column: str):
-        """2 MB at most reach the driver, 32768 bits to a row."""
-        spread = F.xxhash64(column).bitwiseAND((1 << self.BITS) - 1)
-        rows = keys.select(spread.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
+    def __init__(self, keys: DataFrame, column: str, hashed: bool = False):
+        """2 MB at most reach the driver, 32768 bits to a row. ``hashed`` keys are uniform by themselves."""
+        rows = keys.select(self._spread(column, hashed).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
+        # Bit x of the table is Spark's bit ``bitmap_bit_position(x)`` of its bucket; buckets begin at 1 for x = 1.
         size = 4096
         data = bytearray(((1 << self.BITS) // 32768 + 2) * size)
         for r in rows:
             data[r.bucket * size : r.bucket * size + size] = r.bits
-        self.data = bytes(data)
-        self.sent = keys.sparkSession.sparkContext.broadcast(self.data)
+        self.sent = keys.sparkSession.sparkContext.broadcast(bytes(data))
+
+    def _spread(self, column: str, hashed: bool = False):
+        return (F.col(column) if hashed else F.xxhash64(column)).bitwiseAND((1 << self.BITS) - 1)
+
+    def __getstate__(self):
+        return {"sent": self.sent}
+
+    def bits(self):
+        import numpy as np
+
+        if "_bits" not in self.__dict__:
+            self._bits = np.unpackbits(np.frombuffer(self.sent.value, np.uint8), bitorder="little").astype(bool)
+        return self._bits
+
+    def hit(self, keys):
+        """Which of an array of hashed keys may be in."""
+        import numpy as np
+
+        x = keys & np.int64((1 << self.BITS) - 1)
+        # as Spark has it: positive numbers count from 1, and 0 is alone in bucket 0
+        place = np.where(x > 0, 32768 + x - 1, 0)
+        return self.bits()[place]
 
     def keep(self, df: DataFrame, column: str, invert: bool = False) -> DataFrame:
         """The rows of ``df`` whose key may be in, or with ``invert`` the others; all columns."""
         mark = fresh(df, "spread_")
-        sent, at = self.sent, len(df.columns)
+        at = len(df.columns)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import numpy as np
-
-            bits = np.unpackbits(np.frombuffer(sent.value, np.uint8), bitorder="little").astype(bool)
+            bits = self.bits()
             for batch in batches:
                 yield batch.select(range(at)).filter(pa.array(bits[batch.column(at).to_numpy(zero_copy_only=False)] != invert))
 
-        spread = F.xxhash64(column).bitwiseAND((1 << self.BITS) - 1)
+        spread = self._spread(column)
         place = F.bitmap_bucket_number(spread) * 32768 + F.bitmap_bit_position(spread)
         return df.withColumn(mark, place).mapInArrow(each, df.schema)
-

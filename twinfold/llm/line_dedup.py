@@ -2,13 +2,14 @@
 
 A line is what ``\\n`` divides; it counts if it has at least ``MIN_WORDS`` words.
 Lines are compared in lower case with single spaces, by the sets of their
-five-character shingles.
+eight-character shingles.
 
 1. Equal lines are one from the start, by a 64-bit hash of what is compared.
 2. ``BANDS`` bands of ``ROWS`` MinHash values each: two lines of similarity 0.8
-   share no band with a chance of 3e-4. A band key whose least and greatest line
-   differ is a list; every member is joined to its least, so lists of any length
-   give as many links as members.
+   share no band with a chance of 0.2 %, of 0.85 with 0.02 %. Every member of a
+   band's list is joined to its least line, so lists of any length give as many
+   links as members. A word of two bits from each of 32 MinHash values rules out
+   members that met by chance.
 3. Distributed union-find over these gives provisional clusters. The texts of a
    cluster meet once (large clusters block by block) and exact Jaccard
    similarity decides; union-find over the true links gives the components.
@@ -35,14 +36,16 @@ from twinfold.operators.components import connected_components
 
 from .common import BitFilter, fresh, raw_bytes, save, slices
 from .near_dup import exact_forest, to_blocks
-from .wordhash import chunks, mix
+from .wordhash import CHUNK, chunks, mix, powers
 
-SHINGLE = 5
+SHINGLE = 8
 MIN_WORDS = 5
-BANDS, ROWS = 8, 2
+BANDS, ROWS = 12, 4
+#: Of 32 two-bit fields; lines of similarity 0.8 differ in about 5, others in about 24.
+MOST_UNLIKE = 14
 NUM, DEN = 80, 100
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+_ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32) | np.uint64(1)).astype(np.uint32)
 
 
 def compared(line: bytes) -> bytes:
@@ -59,26 +62,31 @@ class Shingles:
         chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         n = len(chars)
-        total = np.zeros(n, np.uint64)
-        padded = np.concatenate([chars, np.zeros(SHINGLE, np.uint64)])
-        for j in range(SHINGLE):
-            total = total * _BASE + padded[j : j + n] + np.uint64(1)
+        ahead, back = powers(1 << max(CHUNK.bit_length(), n.bit_length()))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((chars + np.uint64(1)) * ahead[:n], out=sums[1:])
         # A shingle begins at each character that has enough after it in its line; MIN_WORDS words make a line long enough.
-        left = np.repeat(at[1:], np.diff(at)) - np.arange(n)
-        whole = left >= SHINGLE
-        self.hash = mix(total[whole])
+        whole = np.ones(n, bool)
+        for j in range(1, SHINGLE):
+            whole[at[1:] - j] = False
+        begin = np.flatnonzero(whole)
+        self.hash = mix((sums[begin + SHINGLE] - sums[begin]) * back[begin])
         self.first = np.concatenate([[0], np.cumsum(whole)])[at]
 
     def sets(self) -> list[np.ndarray]:
         return [np.unique(self.hash[a:b]) for a, b in zip(self.first[:-1], self.first[1:], strict=True)]
 
-    def bands(self) -> np.ndarray:
-        """One row of band keys for each line."""
-        least = np.stack([np.minimum.reduceat(self.hash * odd, self.first[:-1]) for odd in _ODD], axis=1)
+    def bands(self) -> tuple[np.ndarray, np.ndarray]:
+        """One row of band keys for each line, and the lines' two-bit words."""
+        short = (self.hash >> np.uint64(32)).astype(np.uint32)
+        least = np.stack([np.minimum.reduceat(short * odd, self.first[:-1]) for odd in _ODD], axis=1).astype(np.uint64)
         keys = np.zeros((len(least), BANDS), np.uint64)
         for r in range(ROWS):
             keys = keys * _BASE + least[:, r::ROWS]
-        return mix(keys + np.arange(BANDS, dtype=np.uint64) * _BASE).astype(np.int64)
+        word = np.zeros(len(least), np.uint64)
+        for r in range(32):
+            word = word << np.uint64(2) | mix(least[:, r].copy()) & np.uint64(3)
+        return mix(keys + np.arange(BANDS, dtype=np.uint64) * _BASE).astype(np.int64), word.astype(np.int64)
 
 
 def line_ids(lines: list[bytes]) -> np.ndarray:
@@ -98,11 +106,11 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("doc", F.xxhash64("doc_id", "text"))
 
 
-_OCCURS = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("nth", pa.int32()), ("line", pa.int64()), ("keys", pa.list_(pa.int64()))])
+_OCCURS = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("nth", pa.int32()), ("line", pa.int64()), ("word", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc, doc_id, nth, line (its hash) for every line that counts; band keys where a line is new in its batch."""
+    """doc, doc_id, nth, line (its hash) for every line that counts; word and band keys where a line is new in its batch."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
@@ -120,20 +128,40 @@ def occurrences(docs: DataFrame) -> DataFrame:
             lines = line_ids(forms)
             _, new = np.unique(lines, return_index=True)
             keys: list = [None] * len(forms)
+            words: list = [None] * len(forms)
             for lo, hi in chunks([forms[i] for i in new]):
-                for i, row in zip(new[lo:hi], Shingles([forms[i] for i in new[lo:hi]]).bands(), strict=True):
-                    keys[i] = row
-            arrays = [pa.array(c, type=f.type) for c, f in zip((docs_, ids_, nth, lines, keys), _OCCURS, strict=True)]
+                for i, row, word in zip(new[lo:hi], *Shingles([forms[i] for i in new[lo:hi]]).bands(), strict=True):
+                    keys[i], words[i] = row, word
+            arrays = [pa.array(c, type=f.type) for c, f in zip((docs_, ids_, nth, lines, words, keys), _OCCURS, strict=True)]
             yield pa.RecordBatch.from_arrays(arrays, schema=_OCCURS)
 
-    return docs.mapInArrow(each, "doc long, doc_id long, nth int, line long, keys array<long>")
+    return docs.mapInArrow(each, "doc long, doc_id long, nth int, line long, word long, keys array<long>")
+
+
+def _filtered(found: DataFrame, wanted: BitFilter) -> DataFrame:
+    """(line, word, key) of the keys that may be wanted; arrays are taken apart only for these."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys")
+            flat = keys.flatten().to_numpy()
+            some = np.flatnonzero(wanted.hit(flat))
+            row = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(keys.offsets.to_numpy()))[some])
+            yield pa.RecordBatch.from_arrays([batch.column("line").take(row), batch.column("word").take(row), pa.array(flat[some])], names=["line", "word", "key"])
+
+    return found.where("keys is not null").select("line", "word", "keys").mapInArrow(each, "line long, word long, key long")
 
 
 def fuzzy_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(src, dst) between different lines of similarity 0.8 or more: a spanning forest."""
-    listed = found.where("keys is not null").select("line", F.explode("keys").alias("key"))
-    many = listed.groupBy("key").agg(F.min("line").alias("least"), F.max("line").alias("most")).where("least <> most").select("key", "least")
-    stars = listed.join(save(many, "bands"), "key").where("line <> least").select(F.col("least").alias("src"), F.col("line").alias("dst")).distinct()
+    listed = found.where("keys is not null").select("line", "word", F.explode("keys").alias("key"))
+    many = save(listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
+    # the filter leaves a few lists of one and of copies; they make no links
+    met = save(_filtered(found, BitFilter(many, "key", hashed=True)).join(many, "key", "left_semi").distinct(), "lists")
+    least = met.groupBy("key").agg(F.min(F.struct("line", "word")).alias("least")).select("key", F.col("least.line").alias("src"), F.col("least.word").alias("other"))
+    bits = F.col("word").bitwiseXOR(F.col("other"))
+    unlike = F.bit_count(bits.bitwiseOR(F.shiftrightunsigned(bits, 1)).bitwiseAND(0x5555555555555555))
+    stars = met.join(least, "key").where((F.col("line") != F.col("src")) & (unlike <= MOST_UNLIKE)).select("src", F.col("line").alias("dst")).distinct()
     clusters = connected_components(stars)
     members = save(clusters.select(F.col("id").alias("row"), F.col("component").alias("cluster")), "members")
     wanted = BitFilter(members, "row")
@@ -199,9 +227,10 @@ def _parted(rows: DataFrame, lost: DataFrame, doc: str = "doc", gone: str = "gon
 
 
 def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
-    """The documents without the lines that repeat, with all their columns; those with no word left go.
+    """The documents without the lines that repeat, with all their columns; those that lose all their words go.
 
-    A column of text lengths, if there is one, follows the new text.
+    Documents that lose nothing stay as they are. A column of text lengths, if
+    there is one, follows a new text.
     """
     doc, gone = fresh(docs, "doc_"), fresh(docs, "gone_")
     lost = save(removals(keyed(docs, doc_id, text)), "lost-lines")
@@ -214,11 +243,15 @@ def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
             columns = batch.columns[: len(names)]
-            left = [_without(t, set(g or ()))[0] for t, g in zip(raw_bytes(columns[at]), batch.column(len(names)).to_pylist(), strict=True)]
-            columns[at] = pa.array([t.decode("utf-8", "replace") for t in left], type=pa.string())
+            lost_lines = batch.column(len(names)).to_pylist()
+            left = [None if g is None else _without(t, set(g))[0] for t, g in zip(raw_bytes(columns[at]), lost_lines, strict=True)]
+            old = columns[at].to_pylist()
+            new = [o if t is None else t.decode("utf-8", "replace") for o, t in zip(old, left, strict=True)]
+            columns[at] = pa.array(new, type=pa.string())
             if count is not None:
-                columns[count] = pa.array([len(x) for x in columns[at].to_pylist()], type=pa.int64()).cast(columns[count].type)
-            some = pa.array([bool(t.split()) for t in left], type=pa.bool_())
+                sizes = columns[count].to_pylist()
+                columns[count] = pa.array([n if t is None else len(x) for n, t, x in zip(sizes, left, new, strict=True)], type=columns[count].type)
+            some = pa.array([t is None or bool(t.split()) for t in left], type=pa.bool_())
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(some)
 
     return touched.select(*names, gone).mapInArrow(each, docs.schema).unionByName(whole.select(*names))

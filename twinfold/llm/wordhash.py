@@ -34,7 +34,7 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
 @lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64."""
     ahead = np.full(n, _BASE, np.uint64)
     back = np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
@@ -54,6 +54,23 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of words, about ``CHUNK`` bytes at a time, so that one very long text needs no more memory than many."""
+    out = np.empty(len(start), np.uint64)
+    lo = 0
+    while lo < len(start):
+        base = int(start[lo])
+        hi = int(np.searchsorted(start, base + CHUNK))
+        own = buf[base : int(end[hi - 1])]
+        ahead, back = powers(1 << max(CHUNK.bit_length(), len(own).bit_length()))
+        sums = np.zeros(len(own) + 1, np.uint64)
+        np.cumsum(_BYTE[own] * ahead[: len(own)], out=sums[1:])
+        a, b = start[lo:hi] - base, end[lo:hi] - base
+        out[lo:hi] = mix((sums[b] - sums[a]) * back[a])
+        lo = hi
+    return out
+
+
 class Words:
     """Words of several texts: ``doc`` (index of the text), ``hash``, ``start`` and ``end`` (bytes in the joined buffer), ``first`` (index of each text's first word, and the end)."""
 
@@ -67,11 +84,7 @@ class Words:
         self.buf, self.start, self.end = data, edge[0::2], edge[1::2]
         self.first = np.searchsorted(self.start, self.at)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        size = 1 << max(CHUNK.bit_length(), int(len(buf)).bit_length())
-        ahead, back = _powers(size)
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(_BYTE[buf] * ahead[: len(buf)], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * back[self.start])
+        self.hash = _hashes(buf, self.start, self.end)
 
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Indexes of the words at which ``n`` words of one text begin, and the hashes of those."""
