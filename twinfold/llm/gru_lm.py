@@ -46,7 +46,9 @@ WORDS, BUCKETS = 991, 32
 CLASSES, IN_CLASS = 32, 32
 HIDDEN = 16
 STEPS = 20
-LANES = 256
+LANES = 512
+#: Documents and tokens that a task scores at a time.
+TOGETHER = 16_384, 8_000_000
 SHARES = (1, 3, 4)
 SEND_WORDS = 100_000
 RATE = 0.01
@@ -308,7 +310,9 @@ class Gru:
         end in lanes of about equal length; the state goes on from window to
         window and is cleared where the next document begins."""
         out = np.zeros(len(docs))
-        lanes: list[list[int]] = [[] for _ in range(min(LANES * 2, len(docs)))]
+        if not docs:
+            return out
+        lanes: list[list[int]] = [[] for _ in range(min(LANES, len(docs)))]
         load = [(0, i) for i in range(len(lanes))]
         heapify(load)
         for d in sorted(range(len(docs)), key=lambda d: -len(docs[d])):
@@ -317,25 +321,24 @@ class Gru:
             heapreplace(load, (n + len(docs[d]), i))
         lanes.sort(key=lambda own: -sum(len(docs[d]) for d in own))
         length = np.asarray([sum(len(docs[d]) for d in own) for own in lanes])
-        if not len(lanes):
-            return out
-        y = np.zeros((len(lanes), length[0]), np.int64)
-        owner = np.full(y.shape, -1, np.int64)
-        for i, own in enumerate(lanes):
-            y[i, : length[i]] = np.concatenate([docs[d] for d in own])
-            owner[i, : length[i]] = np.repeat(own, [len(docs[d]) for d in own])
+        begin = np.cumsum(length) - length
+        order = [d for own in lanes for d in own]
+        flat = np.concatenate([docs[d] for d in order])
+        owner = np.repeat(order, [len(docs[d]) for d in order])
         h = np.zeros((len(lanes), HIDDEN), np.float32)
         before = np.zeros((len(lanes), 1), np.int64)
         for a in range(0, length[0], STEPS):
             active = int(np.searchsorted(-length, -a, side="left"))  # lanes with tokens from a on
-            own = y[:active, a : a + STEPS]
+            at = np.arange(a, min(a + STEPS, length[0]))
+            real = at < length[:active, None]
+            place = begin[:active, None] + np.minimum(at, length[:active, None] - 1)
+            own = np.where(real, flat[place], 0).astype(np.int64)
             x = np.concatenate([before[:active], own[:, :-1]], axis=1)
             states, _ = self.forward(x, h[:active])
             h[:active], before[:active] = states[-1], own[:, -1:]
             logp = self.outputs(states.reshape(-1, HIDDEN), own.T.ravel())
-            who = owner[:active, a : a + STEPS].T.ravel()
-            real = who >= 0
-            out += np.bincount(who[real], weights=logp[real].astype(float), minlength=len(docs))
+            real = real.T.ravel()
+            out += np.bincount(owner[place.T.ravel()[real]], weights=logp[real].astype(float), minlength=len(docs))
         return out / math.log(10)
 
 
@@ -391,10 +394,25 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gru = Gru.from_flat(weights.value)
-        for batch in slices(batches, 2048):
-            texts = [np.frombuffer(x, np.uint16).astype(np.int64) for x in batch.column("ids").to_pylist()]
+        held: list[pa.RecordBatch] = []
+        texts: list[np.ndarray] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            scores, at = gru.score(texts), 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores[at : at + b.num_rows])], names=[*b.schema.names, "model"])
+                at += b.num_rows
+            held.clear()
+            texts.clear()
+
+        for batch in slices(batches, 1024):
             at = batch.schema.get_field_index("ids")
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(gru.score(texts))], names=[*batch.schema.names[:at], "model"])
+            held.append(batch.select(range(at)))
+            texts += [np.frombuffer(x, np.uint16) for x in batch.column(at).to_pylist()]
+            if len(texts) >= TOGETHER[0] or sum(map(len, texts)) >= TOGETHER[1]:
+                yield from done()
+        if held:
+            yield from done()
 
     head = ["row", "doc_id", "held_out", "n_tokens", "n_common", "base", "within"]
     scored = encoded.select(*head, "ids").mapInArrow(score, ENCODED.split(", ids")[0] + ", model double")
