@@ -64,7 +64,7 @@ class _Cache(dict):
 class Encoder:
     """``encode(utf8) -> bytes`` of little-endian ids of ``dtype``; the narrowest dtype that holds the vocabulary."""
 
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 120_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

@@ -17,7 +17,7 @@ SPACE = b" \t\n\r\x0b\x0c"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
 _BASE = 0x9E3779B97F4A7C15
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
