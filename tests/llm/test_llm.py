@@ -206,6 +206,16 @@ def test_line_dedup(spark, docs, texts, empty):
     assert line_dedup.remove_lines(empty).count() == line_dedup.line_counts(empty).count() == 0
 
 
+def test_line_dedup_links_one_changed_character(spark):
+    line = "the quick brown fox jumps over a lazy dog near our old mills"
+    near = line[:30] + "#" + line[31:]
+    five = [{x[i : i + 5] for i in range(len(x) - 4)} for x in (line, near)]
+    assert 0.8 <= len(five[0] & five[1]) / len(five[0] | five[1]) < 0.86
+    docs = spark.createDataFrame([(1, line), (2, near), (3, "nothing at all like the two others here")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in line_dedup.line_counts(docs).collect()} == {1: 0, 2: 1, 3: 0}
+    assert (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS <= 3e-4
+
+
 def shingles(text):
     w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

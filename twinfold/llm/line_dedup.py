@@ -2,11 +2,11 @@
 
 A line is what ``\\n`` divides; it counts if it has at least ``MIN_WORDS`` words.
 Lines are compared in lower case with single spaces, by the sets of their
-eight-character shingles.
+five-character shingles.
 
 1. Equal lines are one from the start, by a 64-bit hash of what is compared.
 2. ``BANDS`` bands of ``ROWS`` MinHash values each: two lines of similarity 0.8
-   share no band with a chance of 0.2 %, of 0.85 with 0.02 %. Every member of a
+   share no band with a chance of 2.2e-4, of 0.85 with 9e-6. Every member of a
    band's list is joined to its least line, so lists of any length give as many
    links as members. A word of two bits from each of 32 MinHash values rules out
    members that met by chance.
@@ -38,11 +38,13 @@ from .common import BitFilter, fresh, raw_bytes, save, slices
 from .near_dup import exact_forest, to_blocks
 from .wordhash import CHUNK, chunks, mix, powers
 
-SHINGLE = 8
+SHINGLE = 5
 MIN_WORDS = 5
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 16, 4
 #: Of 32 two-bit fields; lines of similarity 0.8 differ in about 5, others in about 24.
 MOST_UNLIKE = 14
+#: Lines of a cluster that are compared at once are at most two blocks; small ones keep their shingle sets within memory.
+LINES = 1024
 NUM, DEN = 80, 100
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32) | np.uint64(1)).astype(np.uint32)
@@ -174,7 +176,7 @@ def fuzzy_links(docs: DataFrame, found: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(line_ids(own)), pa.array(own, type=pa.binary())], names=["row", "form"])
 
     texts = wanted.keep(docs.select("text").mapInArrow(forms, "row long, form binary"), "row")
-    full = texts.join(to_blocks(members), "row")
+    full = texts.join(to_blocks(members, block=LINES), "row")
     return exact_forest(full, "form", line_sets, NUM, DEN)
 
 

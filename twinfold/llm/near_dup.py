@@ -263,9 +263,9 @@ def linked_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
     return forest
 
 
-def to_blocks(members: DataFrame, row: str = "row") -> DataFrame:
+def to_blocks(members: DataFrame, row: str = "row", block: int = BLOCK) -> DataFrame:
     """Add ``blocks``, how many parts a member's cluster is compared in, and ``block``, the member's."""
-    sizes = save(members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "clusters")
+    sizes = save(members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "clusters")
     return members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64(row), F.col("blocks")).cast("int"))
 
 
