@@ -21,7 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of lines that repeat, closely or exactly, the first stays; ``n_chars`` follows."""
-    return line_dedup.remove_lines(docs)
+    return line_dedup.remove_lines(docs, min_words=1)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

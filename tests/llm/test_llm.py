@@ -216,6 +216,16 @@ def test_line_dedup_links_one_changed_character(spark):
     assert (1 - 0.8**line_dedup.ROWS) ** line_dedup.BANDS <= 3e-4
 
 
+def test_line_dedup_of_short_and_unspaced_lines(spark, tmp_path):
+    from twinfold.llm.queries import op7_line_dedup
+
+    script = "".join(chr(0x4E00 + i) for i in range(40))  # one word
+    texts = ["All rights reserved.\nok", "all  rights reserved.\nOK\n\nno", f"{script}終\nabcd", f"{script}末\nabce", "one two three\n \n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: (r.n_removed, r.text) for r in op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert found == {0: (0, texts[0]), 1: (2, "\nno"), 2: (0, texts[2]), 3: (1, "abce"), 4: (0, texts[4])}
+
+
 def shingles(text):
     w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()

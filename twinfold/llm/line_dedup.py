@@ -1,12 +1,14 @@
 """Fuzzy line dedup by MinHash (operator 7).
 
-A line is what ``\\n`` divides; it counts if it has at least ``MIN_WORDS`` words.
+A line is what ``\\n`` divides; it counts if it has at least ``min_words`` words:
+one in the query and the pipeline, ``MIN_WORDS`` unless stated.
 Lines are compared in lower case with single spaces, by the sets of their
 five-character shingles.
 
 1. Equal lines are one from the start, by a 64-bit hash of what is compared.
+   Lines of fewer characters than a shingle take part in this only.
 2. ``BANDS`` bands of ``ROWS`` MinHash values each: two lines of similarity 0.8
-   share no band with a chance of 2.2e-4, of 0.85 with 9e-6. Every member of a
+   share no band with a chance of 2.2e-4, of 0.85 with 7e-6. Every member of a
    band's list is joined to its least line, so lists of any length give as many
    links as members. A word of two bits from each of 32 MinHash values rules out
    members that met by chance.
@@ -50,14 +52,19 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32) | np.uint64(1)).astype(np.uint32)
 
 
-def compared(line: bytes) -> bytes:
+def compared(line: bytes, min_words: int = MIN_WORDS) -> bytes:
     """The form in which lines are compared; empty for one that is never compared."""
     words = line.lower().split()
-    return b" ".join(words) if len(words) >= MIN_WORDS else b""
+    return b" ".join(words) if len(words) >= min_words else b""
+
+
+def shingled(form: bytes) -> bool:
+    """Whether a form has a shingle; a character has at most four bytes."""
+    return len(form) >= 4 * SHINGLE or len(form.decode("utf-8", "replace")) >= SHINGLE
 
 
 class Shingles:
-    """Character-shingle hashes of several lines, and where each line's begin."""
+    """Character-shingle hashes of several lines that have some, and where each line's begin."""
 
     def __init__(self, lines: list[bytes]):
         texts = [x.decode("utf-8", "replace") for x in lines]
@@ -67,7 +74,7 @@ class Shingles:
         ahead, back = powers(1 << max(CHUNK.bit_length(), n.bit_length()))
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((chars + np.uint64(1)) * ahead[:n], out=sums[1:])
-        # A shingle begins at each character that has enough after it in its line; MIN_WORDS words make a line long enough.
+        # A shingle begins at each character that has enough after it in its line; each line is long enough for one.
         whole = np.ones(n, bool)
         for j in range(1, SHINGLE):
             whole[at[1:] - j] = False
@@ -111,15 +118,15 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 _OCCURS = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("nth", pa.int32()), ("line", pa.int64()), ("word", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """doc, doc_id, nth, line (its hash) for every line that counts; word and band keys where a line is new in its batch."""
+def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc, doc_id, nth, line (its hash) for every line that counts; word and band keys where a line with shingles is new in its batch."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
             docs_, ids_, nth, forms = [], [], [], []
             for doc, key, text in zip(batch.column("doc").to_pylist(), batch.column("doc_id").to_pylist(), raw_bytes(batch.column("text")), strict=True):
                 for k, line in enumerate(text.split(b"\n")):
-                    form = compared(line)
+                    form = compared(line, min_words)
                     if form:
                         docs_.append(doc)
                         ids_.append(key)
@@ -129,6 +136,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 continue
             lines = line_ids(forms)
             _, new = np.unique(lines, return_index=True)
+            new = [i for i in new if shingled(forms[i])]
             keys: list = [None] * len(forms)
             words: list = [None] * len(forms)
             for lo, hi in chunks([forms[i] for i in new]):
@@ -154,7 +162,7 @@ def _filtered(found: DataFrame, wanted: BitFilter) -> DataFrame:
     return found.where("keys is not null").select("line", "word", "keys").mapInArrow(each, "line long, word long, key long")
 
 
-def fuzzy_links(docs: DataFrame, found: DataFrame) -> DataFrame:
+def fuzzy_links(docs: DataFrame, found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(src, dst) between different lines of similarity 0.8 or more: a spanning forest."""
     listed = found.where("keys is not null").select("line", "word", F.explode("keys").alias("key"))
     many = save(listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
@@ -170,7 +178,7 @@ def fuzzy_links(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
-            own = {form for text in raw_bytes(batch.column("text")) for line in text.split(b"\n") if (form := compared(line))}
+            own = {form for text in raw_bytes(batch.column("text")) for line in text.split(b"\n") if (form := compared(line, min_words)) and shingled(form)}
             own = list(own)
             if own:
                 yield pa.RecordBatch.from_arrays([pa.array(line_ids(own)), pa.array(own, type=pa.binary())], names=["row", "form"])
@@ -180,10 +188,10 @@ def fuzzy_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     return exact_forest(full, "form", line_sets, NUM, DEN)
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc and ``gone``, the numbers of the lines that it loses, for each keyed document that loses any."""
-    found = save(occurrences(docs), "lines")
-    links = connected_components(fuzzy_links(docs, found))
+    found = save(occurrences(docs, min_words), "lines")
+    links = connected_components(fuzzy_links(docs, found, min_words))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "nth")
     each = save(found.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first")), "distinct-lines")
     classed = each.join(links.select(F.col("id").alias("line"), "component"), "line", "left").withColumn("component", F.coalesce("component", "line"))
@@ -200,10 +208,10 @@ def _without(text: bytes, gone: set[int]) -> tuple[bytes, int, int]:
     return b"\n".join(kept), sum(bool(x.split()) for x in lines), len(lines) - len(kept)
 
 
-def line_counts(docs: DataFrame) -> DataFrame:
+def line_counts(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, n_lines (lines with a word), n_removed and the text that is left, for every document."""
     rows = keyed(docs)
-    lost = save(removals(rows), "lost-lines")
+    lost = save(removals(rows, min_words), "lost-lines")
     touched, whole = _parted(rows, lost)
     both = touched.unionByName(whole)
 
@@ -228,14 +236,14 @@ def _parted(rows: DataFrame, lost: DataFrame, doc: str = "doc", gone: str = "gon
     return touched, sure.keep(rows, doc, invert=True).withColumn(gone, F.lit(None).cast(ArrayType(IntegerType())))
 
 
-def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
+def remove_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str | None = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents without the lines that repeat, with all their columns; those that lose all their words go.
 
     Documents that lose nothing stay as they are. A column of text lengths, if
     there is one, follows a new text.
     """
     doc, gone = fresh(docs, "doc_"), fresh(docs, "gone_")
-    lost = save(removals(keyed(docs, doc_id, text)), "lost-lines")
+    lost = save(removals(keyed(docs, doc_id, text), min_words), "lost-lines")
     rows = docs.withColumn(doc, F.xxhash64(F.col(doc_id).cast("long"), F.col(text).cast("string")))
     touched, whole = _parted(rows, lost, doc, gone)
     names = docs.columns

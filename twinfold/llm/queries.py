@@ -38,7 +38,7 @@ def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_counts(documents(spark, sf_dir))
+    return line_dedup.line_counts(documents(spark, sf_dir), min_words=1)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
