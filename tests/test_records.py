@@ -182,3 +182,18 @@ def test_streaming_ingest(spark, tmp_path):
     stream = spark.readStream.schema("t string, freq double").parquet(str(tmp_path / "in"))
     ingest(stream, {"term": ["t"]}, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert {(r.features[0], r.freq) for r in current(spark, str(tmp_path / "out")).collect()} == {("term:a", 2.0), ("term:b", 1.0)}
+
+
+def test_lattice_run_has_all_thresholds(spark, tmp_path):
+    from datetime import date
+
+    from twinfold.plans import queries as Q
+
+    rows = [(o, 7, s, n, date(1995, 1, 1), "A", "F", 1.0, 1.0, 0.0, 0.0) for o, s, n in ((3, 1, 1), (5, 1, 2), (15, 2, 1), (7, 2, 2))]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate date, l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = Q.lattice_run(spark, str(tmp_path)).collect()
+    by_label = {}
+    for r in found:
+        by_label.setdefault(r.label, []).append((r.iteration, r.thr))
+    assert by_label and all(sorted(x) == [(i, round(1 - i * 0.01, 4)) for i in range(1, 101)] for x in by_label.values())

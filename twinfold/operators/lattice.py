@@ -15,10 +15,14 @@ from pyspark.sql import functions as F
 RESULT = "label string, iteration int, thr double, blocks int, prec double, rec double, f1 double, gini double"
 
 
-def _weights(spec: np.ndarray, obs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """car and the weights over the order's direct steps, loops with obs/car; nothing carried weighs nothing."""
+def _steps(spec: np.ndarray) -> np.ndarray:
+    """The direct steps of an order."""
     strict = spec & ~np.eye(len(spec), dtype=bool)
-    step = strict & ~((strict.astype(int) @ strict.astype(int)) > 0)
+    return strict & ~((strict.astype(int) @ strict.astype(int)) > 0)
+
+
+def _weights(spec: np.ndarray, step: np.ndarray, obs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """car and the weights over the order's direct steps, loops with obs/car; nothing carried weighs nothing."""
     car = spec @ obs
     safe = np.where(car > 0, car, 1)
     w = np.where(step, car[None, :] / safe[:, None], 0)
@@ -47,6 +51,25 @@ def gini(x: np.ndarray) -> float:
     return float(2 * (np.arange(1, n + 1) * x).sum() / (n * total) - (n + 1) / n) if total else 0.0
 
 
+def _merged(over: np.ndarray, obs: np.ndarray, max_size: float) -> list[list[int]]:
+    """The groups of what ``over`` joins; one that would be too large stays apart."""
+    parent = list(range(len(obs)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in zip(*np.nonzero(over), strict=True):
+        x, y = sorted((find(int(a)), find(int(b))))
+        parent[y] = x
+    groups: dict[int, list[int]] = {}
+    for i in range(len(obs)):
+        groups.setdefault(find(i), []).append(i)
+    merged = [g if len(g) == 1 or obs[g].sum() <= max_size else None for g in groups.values()]
+    return [g for m, own in zip(merged, groups.values(), strict=True) for g in ([m] if m else [[i] for i in own])]
+
+
 def refine(nodes: pd.DataFrame, step: float = 0.01, max_size: float = 1000, discount: float = 1.0) -> list[tuple]:
     """(iteration, thr, blocks, prec, rec, f1, gini) for falling thresholds over one component.
 
@@ -62,35 +85,27 @@ def refine(nodes: pd.DataFrame, step: float = 0.01, max_size: float = 1000, disc
             if isinstance(gold, str):
                 cells[i, golds[gold]] += freq
     spec = np.asarray([[a <= b for b in features] for a in features])
+    direct, found = _steps(spec), (int((cells.sum(1) > 0).sum()), *block_rates(cells))
     out = []
     for it in range(1, int(round(1 / step)) + 1):
         thr = 1 - it * step
-        _, w = _weights(spec, obs)
-        np.fill_diagonal(w, 0)
-        parent = list(range(len(obs)))
-
-        def find(x: int, parent=parent) -> int:
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in zip(*np.nonzero(w > max(thr, 0)), strict=True):
-            x, y = sorted((find(int(a)), find(int(b))))
-            parent[y] = x
-        groups: dict[int, list[int]] = {}
-        for i in range(len(obs)):
-            groups.setdefault(find(i), []).append(i)
-        merged = [g if len(g) == 1 or obs[g].sum() <= max_size else None for g in groups.values()]
-        final = [g for m, own in zip(merged, groups.values(), strict=True) for g in ([m] if m else [[i] for i in own])]
-        if len(final) < len(obs):
-            join = np.zeros((len(final), len(obs)))
-            for k, g in enumerate(final):
-                join[k, g] = 1
-            spec = _closure((join @ spec @ join.T) > 0)
-            obs, cells = join @ obs, join @ cells
-            features = [frozenset().union(*(features[i] for i in g)) for g in final]
-        out.append((it, round(thr, 4), int((cells.sum(1) > 0).sum()), *block_rates(cells), gini(obs)))
-        car, w = _weights(spec, obs)
+        if len(obs) == 1:  # neither merging nor discounting changes a single block
+            out.append((it, round(thr, 4), *found, gini(obs)))
+            continue
+        _, w = _weights(spec, direct, obs)
+        over = w > max(thr, 0)
+        np.fill_diagonal(over, False)
+        if over.any():
+            final = _merged(over, obs, max_size)
+            if len(final) < len(obs):
+                join = np.zeros((len(final), len(obs)))
+                for k, g in enumerate(final):
+                    join[k, g] = 1
+                spec = _closure((join @ spec @ join.T) > 0)
+                obs, cells = join @ obs, join @ cells
+                direct, found = _steps(spec), (int((cells.sum(1) > 0).sum()), *block_rates(cells))
+                _, w = _weights(spec, direct, obs)
+        out.append((it, round(thr, 4), *found, gini(obs)))
         rows = w.sum(1, keepdims=True)
         share = np.divide(w, rows, out=np.zeros_like(w), where=rows > 0)
         stays = discount * obs * (rows[:, 0] == 0)

@@ -301,7 +301,7 @@ def lattice_run(spark, sf_dir):
     mapped = save(X.record_mentions(spark, sf_dir), "mentions")
     reps = save(R.represent(mapped), "reps")
     golds = mapped.groupBy("rep_id", "gold_id").agg(F.sum("freq").alias("freq"))
-    return L.disambiguate(reps, _components(reps), golds, step=0.1)
+    return L.disambiguate(reps, _components(reps), golds, step=0.01)
 
 
 @query("SELECT doc_id, array_to_string(list_transform(CASE WHEN length(t) >= 5 THEN range(1, length(t) - 3) ELSE [] END, lambda i: substr(t, i, 5)), '|') AS grams FROM (SELECT doc_id, replace(lower(split_part(text, chr(10), 1)), ' ', '_') AS t FROM documents)")
