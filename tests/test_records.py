@@ -197,3 +197,17 @@ def test_lattice_run_has_all_thresholds(spark, tmp_path):
     for r in found:
         by_label.setdefault(r.label, []).append((r.iteration, r.thr))
     assert by_label and all(sorted(x) == [(i, round(1 - i * 0.01, 4)) for i in range(1, 101)] for x in by_label.values())
+
+
+def test_sweep_of_the_reference_settings(spark, tmp_path):
+    from datetime import date
+
+    from twinfold.plans import queries as Q
+
+    # 120 lines of one order: beyond the former gold limits, within the reference's
+    rows = [(3, 7 + k % 4, 1, k, date(1995, 1, 1), "A", "F", 1.0, 1.0, 0.0, 0.0) for k in range(120)] + [(5, 1, 2, 1, date(1995, 1, 1), "A", "F", 1.0, 1.0, 0.0, 0.0)] * 2
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_shipdate date, l_returnflag string, l_linestatus string, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = {(r.min_gold, r.max_gold, r.max_label): r.t for r in Q.QUERIES["eval_sweep_reference"](spark, str(tmp_path)).collect()}
+    assert set(found) == {(a, b, c) for a in (1, 2) for b in (10, 25, 50, 100, 1000, 10000) for c in (10, 100, 1000, 10000, 100000, 1000000)}
+    assert all(t == (4 if b <= 100 else 4 + 120**2) for (_, b, _), t in found.items())

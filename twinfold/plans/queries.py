@@ -211,6 +211,15 @@ def eval_sweep(spark, sf_dir):
     return E.sweep(_labelled(spark, sf_dir), [1, 2], [10, 25, 50], [10, 25, 100])
 
 
+@query(
+    SQL["eval_sweep"].replace("(VALUES (10), (25), (50)) b(max_gold)", "(VALUES (10), (25), (50), (100), (1000), (10000)) b(max_gold)")
+    .replace("(VALUES (10), (25), (100)) d(max_label)", "(VALUES (10), (100), (1000), (10000), (100000), (1000000)) d(max_label)")
+)
+def eval_sweep_reference(spark, sf_dir):
+    """The reference's 72 settings."""
+    return E.sweep(_labelled(spark, sf_dir), [1, 2], [10, 25, 50, 100, 1000, 10000], [10, 100, 1000, 10000, 100000, 1000000])
+
+
 _CORE = """, z AS (SELECT *, count(*) OVER (PARTITION BY label) AS nl, count(*) OVER (PARTITION BY gold_id) AS ng, count(*) OVER (PARTITION BY label, gold_id) AS nc FROM labelled),
 k AS (SELECT count(*) FILTER (nl > 1 AND ng = nc) AS tp, count(*) FILTER (nl > 1 AND ng > nc) AS fp, count(*) FILTER (nl = 1 AND ng = 1) AS tn, count(*) FILTER (nl = 1 AND ng > 1) AS fn FROM z)"""
 
