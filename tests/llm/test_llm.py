@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from twinfold.llm import bpe, decontaminate, gru_lm, hilbert, html_text, line_dedup, near_dup, packing, quality, secrets, token_files
 
@@ -51,12 +52,24 @@ def collect(df):
 
 def test_encoders_agree_with_the_library(texts):
     rng = random.Random(2)
-    odd = ["a  b", " x", "x ", "\n", "a\n\n\nb", "a\n\n", "it's 's '", "\t\r\x1c", "…“”—", "<|endoftext|>", "Ǆ ﬁ Σς", "x y", "　"]
-    odd += ["".join(rng.choice("ab '\n.é!1_ ") for _ in range(20)) for _ in range(200)]
+    odd = ["a  b", " x", "x ", "\n", "a\n\n\nb", "a\n\n", "a\n", "it's 's '", "\t\r\x1c", "…“”—", "a— .b", "Ǆ ﬁ Σς", "x y", "　", "ab12,c_d é1é. x\x00y", "a" * 50 + " " + "a" * 49 + "b", "ĸ ŉ ſ × ÷ İ"]
+    for added in ("<|endoftext|>", "<|startoftext|>"):
+        odd += [added, f"hello {added} world", f"in{added}side word", f"a\n{added}", added.upper(), added[:-1], f"{added}{added} x"]
+    odd += ["".join(rng.choice("ab '\n.é!1_ ") for _ in range(20)) for _ in range(200)]
+    odd += ["".join(rng.choice(["ab", "cd ", ", ", "é", "12", " ", "\n", "—", "'s", "X"]) for _ in range(30)) for _ in range(200)]
     for kind, path in ((bpe.WordEncoder, WORD), (bpe.ByteEncoder, BYTE)):
-        enc = kind(path, cache=50)
-        for t in [t or "" for t in texts] + odd:
-            assert np.frombuffer(enc.encode(t.encode()), enc.dtype).tolist() == enc.library.encode(t, add_special_tokens=False).ids, t[:40]
+        library = Tokenizer.from_file(path)  # as it comes
+        for enc in (kind(path), kind(path, cache=50)):
+            every = [t or "" for t in texts] + odd
+            for t, ids in zip(every, enc.encode_all([t.encode() for t in every]), strict=True):
+                assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t[:40]
+
+
+def test_runs_of_one_hash_are_left_to_the_library(monkeypatch):
+    texts = [b"one two three", b"", b"two, four"]
+    want = [x.tolist() for x in bpe.ByteEncoder(BYTE).encode_all(texts)]
+    monkeypatch.setattr(bpe.Runs, "keys", lambda runs, lead: (np.zeros(len(runs.start), np.uint64), np.arange(len(runs.start), dtype=np.uint64)))
+    assert [x.tolist() for x in bpe.ByteEncoder(BYTE).encode_all(texts)] == want
 
 
 def test_token_files(spark, docs, empty, tmp_path):
@@ -64,7 +77,7 @@ def test_token_files(spark, docs, empty, tmp_path):
     token_files.write_token_files(docs, WORD, out)
     rows = sorted(token_files.read_digest(spark, out).collect(), key=lambda r: r.start)
     enc = bpe.WordEncoder(WORD)
-    want = [(r.doc_id, np.append(np.frombuffer(enc.encode((r.text or "").encode()), enc.dtype), 2).astype("<u4")) for r in collect(docs.select("doc_id", "text"))]
+    want = [(r.doc_id, np.append(enc.encode((r.text or "").encode()), 2).astype("<u4")) for r in collect(docs.select("doc_id", "text"))]
     assert [r.doc_id for r in rows] == [d for d, _ in want] and rows[0].doc_id is None
     start = 0
     for r, (_, ids) in zip(rows, want, strict=True):
@@ -334,7 +347,7 @@ def test_packing(docs, empty):
     enc = bpe.ByteEncoder(BYTE)
     want = Counter()
     for d in docs.collect():
-        ids = np.append(np.frombuffer(enc.encode((d.text or "").encode()), enc.dtype), 0).astype("<u4")
+        ids = np.append(enc.encode((d.text or "").encode()), 0).astype("<u4")
         head, at, k = (len(ids) - 1) % 2048 + 1, 0, 0
         while at < len(ids):
             end = head if k == 0 else at + 2048

@@ -92,8 +92,6 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
     return plan
 
 
-
-
 def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, kind: type = ByteEncoder, keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents. Only documents longer than ``capacity`` are cut,
     and all their pieces but the first are full. ``part`` and ``nth`` number the
@@ -104,10 +102,11 @@ def cut(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(kind, tokenizer), TaskContext.get().partitionId(), defaultdict(int)
-        for batch in slices(batches):
+        for batch in slices(batches, 512):
             rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), raw_bytes(batch.column("text")), strict=True):
-                ids = np.append(np.frombuffer(enc.encode(text), dtype=enc.dtype), np.asarray([end_id], enc.dtype)).astype("<u4")
+            for doc, own in zip(batch.column("doc_id").to_pylist(), enc.encode_all(raw_bytes(batch.column("text"))), strict=True):
+                ids = np.empty(len(own) + 1, "<u4")
+                ids[:-1], ids[-1] = own, end_id
                 head = (len(ids) - 1) % capacity + 1
                 at = [0, *range(head, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
@@ -128,7 +127,8 @@ def place(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     plan = np.asarray(sorted(plan_packing(hist, capacity)), dtype=np.int64).reshape(-1, 5)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = pieces.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # never broadcast: ``base`` grows with the tasks; a (part, length) has no more pieces than one task made
+    ranked = pieces.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     kept = [c for c in pieces.columns if c not in ("part", "nth")]
     sent = spark.sparkContext.broadcast((plan[:, 0] << 44 | plan[:, 1], plan[:, 3] - plan[:, 1], plan[:, 4]))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in kept)

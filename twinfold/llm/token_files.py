@@ -51,19 +51,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2
         name = f"part-{TaskContext.get().partitionId():06d}"
         enc = encoder(kind, tokenizer)
         end = np.asarray([end_id], dtype=enc.dtype).tobytes()
-        width = len(end)
         store, lengths, ids, nulls, first = Store(out), [], [], 0, None
         with store.create(f"{name}.bin") as f:
-            for batch in slices(batches):
+            for batch in slices(batches, 512):
                 keys = batch.column("doc_id")
                 nulls += keys.null_count
                 if first is None and batch.num_rows:
                     first = (keys[0].as_py(), batch.column("tie")[0].as_py())
                 ids.append(keys.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
-                for text in raw_bytes(batch.column("text")):
-                    data = enc.encode(text) + end
-                    lengths.append(len(data) // width)
-                    f.write(data)
+                for own in enc.encode_all(raw_bytes(batch.column("text"))):
+                    lengths.append(len(own) + 1)
+                    f.write(own.tobytes() + end)
         if first is None:
             return
         offsets = np.zeros(len(lengths) + 1, "<i8")

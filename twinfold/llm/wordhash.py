@@ -17,6 +17,7 @@ SPACE = b" \t\n\r\x0b\x0c"
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE)] = True
 _BASE = 0x9E3779B97F4A7C15
+_OTHER = 0xC2B2AE3D27D4EB4F
 CHUNK = 1 << 19
 
 
@@ -30,6 +31,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Masks of the first 0 to 8 bytes of a little-endian integer.
+_MASK = np.asarray([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 
 
@@ -71,6 +74,81 @@ def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pairs() -> np.ndarray:
+    """Which two bytes are a letter of the Latin supplements that is stable under NFC and lower-cases one to one."""
+    out = np.zeros(1 << 16, bool)
+    for c in range(0xC0, 0x17F):
+        if c not in (0xD7, 0xF7, 0x130, 0x149):
+            first, second = chr(c).encode()
+            out[first << 8 | second] = True
+    return out
+
+
+_LATIN = _pairs()
+#: 0: not plain, 1: letter or part of one, 2: digit, 3: mark; an apostrophe can begin an ending such as 's and isn't plain.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 3
+_KIND[48:58] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[39] = 0
+
+
+class Runs:
+    """Runs of several texts: a word of plain characters gives its runs of letters,
+    of digits and of marks, any other word is one run. ``start`` and ``end`` (bytes
+    in ``data``), ``at`` (where texts begin), ``first`` (index of each text's first run, and the end)."""
+
+    def __init__(self, texts: list[bytes], joint: bytes = b"\n"):
+        self.data = joint.join(texts) + joint
+        self.buf = np.frombuffer(self.data + bytes(8), np.uint8)
+        buf = self.buf[:-8]
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.at = np.concatenate([[0], np.cumsum(lengths)])
+        space = _IS_SPACE[buf]
+        kind = _KIND[buf]
+        high = np.flatnonzero(buf >= 0x80)
+        if len(high):
+            plain = _LATIN[buf[high].astype(np.int32) << 8 | self.buf[high + 1]]
+            kind[high[plain]] = kind[high[plain] + 1] = 1
+        edge = np.empty(len(buf) + 1, bool)
+        edge[0], edge[-1] = not space[0], not space[-1]
+        np.not_equal(space[1:], space[:-1], out=edge[1:-1])
+        bounds = np.flatnonzero(edge)
+        words, ends = bounds[0::2], bounds[1::2]
+        # inside a word with anything that isn't plain there are no edges
+        odd = np.flatnonzero((kind == 0) & ~space)
+        broken = np.unique(np.searchsorted(words, odd, side="right") - 1)
+        change = np.flatnonzero((kind[1:] != kind[:-1]) & ~space[1:] & ~space[:-1]) + 1
+        if len(broken):
+            change = change[~np.isin(np.searchsorted(words, change, side="right") - 1, broken)]
+        self.start, self.end = np.sort(np.concatenate([words, change])), np.sort(np.concatenate([ends, change]))
+        self.first = np.searchsorted(self.start, self.at)
+        # eight bytes from each place on
+        self.eight = np.ndarray((len(self.data) + 1,), "<u8", self.buf, strides=(1,))
+
+    def lone_space(self) -> np.ndarray:
+        """Whether each run follows a space."""
+        return (self.buf[np.maximum(self.start - 1, 0)] == 32) & (self.start > 0)
+
+    def keys(self, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two 64-bit hashes of each run, its length and ``lead``."""
+        left = self.end - self.start
+        one = (left.astype(np.uint64) * np.uint64(2) + lead) * np.uint64(_BASE)
+        two = ~one
+        some, k = None, 0
+        while len(left):
+            here = self.start if some is None else self.start[some] + k
+            eight = self.eight[here] & _MASK[np.minimum(left, 8)]
+            if some is None:
+                one, two = mix((one ^ eight) * np.uint64(_BASE)), mix((two ^ eight) * np.uint64(_OTHER))
+            else:
+                one[some], two[some] = mix((one[some] ^ eight) * np.uint64(_BASE)), mix((two[some] ^ eight) * np.uint64(_OTHER))
+            more = np.flatnonzero(left > 8)
+            some = more if some is None else some[more]
+            left, k = left[more] - 8, k + 8
+        return one, two
+
+
 class Words:
     """Words of several texts: ``doc`` (index of the text), ``hash``, ``start`` and ``end`` (bytes in the joined buffer), ``first`` (index of each text's first word, and the end)."""
 
