@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,11 +50,37 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches, so that Python objects of few texts live at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and about ``most`` bytes
+    (one longer row is a batch), so that Python objects of few texts live at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        if not batch.num_rows:
+            continue
+        if batch.num_rows <= rows and batch.nbytes <= most:
+            yield batch
+            continue
+        step = max(1, min(rows, batch.num_rows))
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            if part.nbytes <= most:
+                yield part
+                continue
+            lo = total = 0
+            for i, n in enumerate(_row_bytes(part)):
+                if total and total + n > most:
+                    yield part.slice(lo, i - lo)
+                    lo, total = i, 0
+                total += n
+            yield part.slice(lo)
+
+
+def _row_bytes(batch: pa.RecordBatch) -> list[int]:
+    """Bytes of text of each row."""
+    total = [0] * batch.num_rows
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+            total = [a + (b or 0) for a, b in zip(total, pc.binary_length(column).to_pylist(), strict=True)]
+    return total
 
 
 def _local(uri: str) -> str | None:
@@ -129,7 +156,8 @@ class BitFilter:
 
     def __init__(self, keys: DataFrame, column: str, hashed: bool = False):
         """2 MB at most reach the driver, 32768 bits to a row. ``hashed`` keys are uniform by themselves."""
-        rows = keys.select(self._spread(column, hashed).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
+        self.hashed = hashed
+        rows = keys.select(self._spread(column).alias("x")).groupBy(F.bitmap_bucket_number("x").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits")).collect()
         # Bit x of the table is Spark's bit ``bitmap_bit_position(x)`` of its bucket; buckets begin at 1 for x = 1.
         size = 4096
         data = bytearray(((1 << self.BITS) // 32768 + 2) * size)
@@ -137,11 +165,11 @@ class BitFilter:
             data[r.bucket * size : r.bucket * size + size] = r.bits
         self.sent = keys.sparkSession.sparkContext.broadcast(bytes(data))
 
-    def _spread(self, column: str, hashed: bool = False):
-        return (F.col(column) if hashed else F.xxhash64(column)).bitwiseAND((1 << self.BITS) - 1)
+    def _spread(self, column: str):
+        return (F.col(column) if self.hashed else F.xxhash64(column)).bitwiseAND(F.lit((1 << self.BITS) - 1))
 
     def __getstate__(self):
-        return {"sent": self.sent}
+        return {"sent": self.sent, "hashed": self.hashed}
 
     def bits(self):
         import numpy as np
@@ -151,7 +179,7 @@ class BitFilter:
         return self._bits
 
     def hit(self, keys):
-        """Which of an array of hashed keys may be in."""
+        """Which of an array of keys that are hashes may be in."""
         import numpy as np
 
         x = keys & np.int64((1 << self.BITS) - 1)

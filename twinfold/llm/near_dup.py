@@ -38,13 +38,15 @@ from pyspark.sql.window import Window
 from twinfold.operators.components import connected_components
 
 from .common import BitFilter, fresh, id_and_text, raw_bytes, save, shuffle_partitions, slices
-from .wordhash import Words, chunks, mix
+from .wordhash import Words, chunks, distinct, mix
 
 WORDS = 5
 K = 64
 FRONT = 16
 BLOCK = 4096
 ANCHORS = 8
+#: Entries of the largest 0-1 matrix that stands for some sets (4 bytes each).
+MATRIX = 1 << 23
 #: Estimated similarity to a pivot from which a class joins it, and from which it needs no pivot of its own.
 LOOSE, TIGHT = 0.5, 0.8
 
@@ -67,7 +69,7 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
                     for h in w.hash[w.first[i] : w.first[i + 1]]:
                         total = total * np.uint64(0x9E3779B97F4A7C15) + h
                 own = mix(np.asarray([total], np.uint64))
-            out.append(np.unique(own))
+            out.append(distinct(own))
     return out
 
 
@@ -223,26 +225,19 @@ def candidate_links(reps: DataFrame) -> DataFrame:
 
 
 def linked_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with den * intersection >= num * union.
-
-    Breadth first: each set is compared, through the inverted lists of elements
-    that at least two sets have, with those that no component has yet.
-    """
+    """A spanning forest of the pairs of sorted sets with den * intersection >= num * union."""
     b = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, b)
     if b == 2:
         common = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         return [(0, 1)] if common and den * common >= num * (len(sets[0]) + len(sets[1]) - common) else []
-    sizes = np.fromiter(map(len, sets), np.int64, b)
     flat = np.concatenate(sets) if b else np.empty(0, np.uint64)
-    owner = np.repeat(np.arange(b), sizes)
-    order = np.argsort(flat, kind="stable")
-    value = flat[order]
-    new = np.concatenate([[True], value[1:] != value[:-1]]) if len(value) else np.empty(0, bool)
-    ids = np.empty(len(flat), np.int64)
-    ids[order] = np.cumsum(new) - 1
-    cut = np.append(np.flatnonzero(new), len(value))
-    by_value, many = owner[order], np.diff(cut) > 1
-    first = np.concatenate([[0], np.cumsum(sizes)])
+    order = np.argsort(flat)
+    value, owner = flat[order], np.repeat(np.arange(b), sizes)[order]
+    del flat
+    begin = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])) if len(value) else np.empty(0, np.int64)
+    count = np.diff(np.append(begin, len(value)))
+    near = _by_product(sizes, owner, count, num, den) if b * int((count > 1).sum()) <= MATRIX else _ByLists(sizes, owner, count, order, num, den)
     free, forest = np.ones(b, bool), []
     for root in range(b):
         if not free[root]:
@@ -250,23 +245,63 @@ def linked_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, i
         free[root] = False
         queue = [root]
         while queue and free.any():
-            x = queue.pop()
-            own = ids[first[x] : first[x + 1]]
-            own = own[many[own]]
-            if not len(own):
-                continue
-            common = np.bincount(np.concatenate([by_value[cut[v] : cut[v + 1]] for v in own]), minlength=b)
-            near = np.flatnonzero(free & (den * common >= num * (sizes + sizes[x] - common)) & (common > 0))
-            forest += [(root, int(i)) for i in near]
-            free[near] = False
-            queue += near.tolist()
+            new = np.flatnonzero(near(queue.pop(), free) & free)
+            forest += [(root, int(i)) for i in new]
+            free[new] = False
+            queue += new.tolist()
     return forest
 
 
-def to_blocks(members: DataFrame, row: str = "row", block: int = BLOCK) -> DataFrame:
-    """Add ``blocks``, how many parts a member's cluster is compared in, and ``block``, the member's."""
-    sizes = save(members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "clusters")
-    return members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64(row), F.col("blocks")).cast("int"))
+def _by_product(sizes: np.ndarray, owner: np.ndarray, count: np.ndarray, num: int, den: int):
+    """All intersections as a product of 0-1 matrices over the elements that several sets have."""
+    many = count > 1
+    shared = np.repeat(many, count)
+    table = np.zeros((len(sizes), int(many.sum())), np.float32)
+    table[owner[shared], np.repeat(np.arange(table.shape[1]), count[many])] = 1
+    common = (table @ table.T).astype(np.int64)
+    near = (den * common >= num * (sizes[:, None] + sizes - common)) & (common > 0)
+    return lambda x, free: near[x]
+
+
+class _ByLists:
+    """One set's intersections with the free sets, from the inverted lists of its
+    elements. The lists are made anew whenever half of the sets in them are free no more."""
+
+    def __init__(self, sizes: np.ndarray, owner: np.ndarray, count: np.ndarray, order: np.ndarray, num: int, den: int):
+        self.sizes, self.num, self.den = sizes, num, den
+        self.first = np.concatenate([[0], np.cumsum(sizes)])
+        self.owner, self.element = owner, np.repeat(np.arange(len(count)), count)
+        self.ids = np.empty(len(order), np.int64)
+        self.ids[order] = self.element
+        self.elements = len(count)
+        self._lists(np.ones(len(sizes), bool))
+
+    def _lists(self, free: np.ndarray) -> None:
+        own = free[self.owner]
+        self.owner, self.element = self.owner[own], self.element[own]
+        self.count = np.bincount(self.element, minlength=self.elements)
+        self.begin = np.cumsum(self.count) - self.count
+        self.held = int(free.sum())
+
+    def __call__(self, x: int, free: np.ndarray) -> np.ndarray:
+        if 2 * int(free.sum()) < self.held:
+            self._lists(free)
+        own = self.ids[self.first[x] : self.first[x + 1]]
+        n = self.count[own]
+        at = np.repeat(self.begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return (self.den * common >= self.num * (self.sizes + self.sizes[x] - common)) & (common > 0)
+
+
+def to_blocks(members: DataFrame, row: str = "row", block: int = BLOCK, most: int = 32 << 20) -> DataFrame:
+    """Add ``blocks``, how many parts a member's cluster is compared in, and ``block``, the member's.
+
+    ``members`` has row, cluster and bytes; a block has about ``block`` members and
+    ``most`` bytes at most. A cluster of one is dropped.
+    """
+    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / most)).cast("int")
+    sizes = members.groupBy("cluster").agg(F.least(parts, F.count("*").cast("int")).alias("blocks"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return members.drop("bytes").join(save(sizes, "clusters"), "cluster").withColumn("block", F.pmod(F.xxhash64(row), F.col("blocks")).cast("int"))
 
 
 def exact_forest(full: DataFrame, payload: str, to_sets, num: int, den: int) -> DataFrame:
@@ -324,7 +359,7 @@ def true_links(docs: DataFrame, members: DataFrame, num: int, den: int, words: i
             arrays = [pa.array(c, type=pa.int64()) for c in columns] + [pa.array([s.tobytes() for s in own], type=pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["n_shingles", "f1", "f2", "set"])
 
-    full = texts.mapInArrow(sets, "n_shingles long, f1 long, f2 long, set binary").join(to_blocks(members), ["n_shingles", "f1", "f2"])
+    full = texts.mapInArrow(sets, "n_shingles long, f1 long, f2 long, set binary").join(to_blocks(members.withColumn("bytes", 8 * F.col("n_shingles"))), ["n_shingles", "f1", "f2"])
     return exact_forest(full, "set", lambda rows: [np.frombuffer(x, np.uint64) for x in rows], num, den)
 
 
