@@ -31,7 +31,7 @@ WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Bytes of text that are encoded at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 #: White space that the byte-level pattern knows beside space and line feed.
 ODD_ASCII = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -51,19 +51,19 @@ def byte_chars() -> dict[int, str]:
 class _Table:
     """run -> ids in flat arrays, found by 128 bits of hash. New runs go to a young
     table that is merged into the old one as it grows; the old one is dropped
-    when it is full, so memory is bounded (about 35 bytes a run)."""
+    when it is full, so memory is bounded (about 30 bytes a run)."""
 
     def __init__(self, limit: int, dtype: str):
         self.limit, self.dtype = limit, dtype
         self.old, self.young = self._none(), self._none()
 
     def _none(self):
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.empty(0, self.dtype)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.empty(0, self.dtype)
 
     @staticmethod
     def _merged(a, b):
         place = np.searchsorted(a[0], b[0])
-        columns = [np.insert(x, place, y) for x, y in zip(a[:4], (*b[:2], b[2] + len(a[4]), b[3]), strict=True)]
+        columns = [np.insert(x, place, y) for x, y in zip(a[:4], (*b[:2], b[2] + np.int32(len(a[4])), b[3]), strict=True)]
         return (*columns, np.concatenate([a[4], b[4]]))
 
     def look_up(self, key: np.ndarray, check: np.ndarray, make) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +83,7 @@ class _Table:
         own = np.cumsum(size[new]) - size[new]
         begin[new] = own + base
         flat = np.concatenate([self.old[4], self.young[4], ids])
-        self.young = self._merged(self.young, (key[new], check[new], own, size[new], ids))
+        self.young = self._merged(self.young, (key[new], check[new], own.astype(np.int32), size[new].astype(np.int32), ids))
         if 8 * len(self.young[0]) > max(len(self.old[0]), self.limit // 4):
             if len(self.old[0]) + len(self.young[0]) > self.limit:
                 self.old = self._none()

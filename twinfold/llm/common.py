@@ -6,6 +6,7 @@ folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import uuid
@@ -36,9 +37,19 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def small_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches by bytes: rows here are
+    whole texts, and 10,000 of them are too many to hold. A lower bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(name).rstrip("bB")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= most:
+        df.sparkSession.conf.set(name, str(most))
+    return df
+
+
 def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The two columns every text operator needs, whatever else the table has."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
 def raw_bytes(column: pa.Array) -> list[bytes]:
@@ -50,6 +61,15 @@ def raw_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task otherwise keeps what its last one used at most."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``rows`` rows and about ``most`` bytes
     (one longer row is a batch), so that Python objects of few texts live at a time."""
@@ -72,6 +92,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256, most: int = 4 <<
                     lo, total = i, 0
                 total += n
             yield part.slice(lo)
+    release()
 
 
 def _row_bytes(batch: pa.RecordBatch) -> list[int]:

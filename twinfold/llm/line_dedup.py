@@ -44,7 +44,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from twinfold.operators.components import connected_components
 
-from .common import BitFilter, fresh, raw_bytes, save, shuffle_partitions, slices
+from .common import BitFilter, fresh, id_and_text, raw_bytes, release, save, shuffle_partitions, slices
 from .near_dup import exact_forest, to_blocks
 from .wordhash import chunks, distinct, mix
 
@@ -63,7 +63,7 @@ NUM, DEN = 80, 100
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _ODD = (mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) >> np.uint64(32) | np.uint64(1)).astype(np.uint32)
 #: Lines whose ids a task remembers, and entries that it packs at once.
-REMEMBERED, PACKED = 200_000, 1 << 20
+REMEMBERED, PACKED = 200_000, 1 << 18
 
 
 def compared(line: bytes, min_words: int = MIN_WORDS) -> bytes:
@@ -176,8 +176,7 @@ def line_sets(lines: list[bytes]) -> list[np.ndarray]:
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text, and ``doc`` and ``twin``, the two hashes by which a document is known."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.select("doc_id", "text", *_known("doc_id", "text", "doc", "twin"))
+    return id_and_text(docs, doc_id, text).select("doc_id", "text", *_known("doc_id", "text", "doc", "twin"))
 
 
 def _known(doc_id: str, text: str, doc: str, twin: str) -> list:
@@ -255,13 +254,17 @@ def stars(word: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     equals a centre, whose neighbours are in that star too. What then is still
     long is freed of lines without a neighbour, or cut by further fields first.
     """
-    rest = np.arange(len(word))
+    rest, sent = np.arange(len(word)), 0
     for _ in range(CENTRES):
         if len(rest) <= MANY:
             break
+        if sent > 2 * len(word):  # the whole list at once is less than so many stars
+            yield 0, np.arange(len(word))
+            return
         far = unlike(word[rest], word[rest[0]])
         if (far <= MOST_UNLIKE).sum() > 1:
             yield int(rest[0]), rest[far <= MOST_UNLIKE]
+            sent += int((far <= MOST_UNLIKE).sum())
         rest = rest[1:][far[1:] > ALL_BUT_EQUAL]
     for own in [rest] if len(rest) <= THINNED else _cuts(word, rest):
         own = _near_any(word, own) if MANY < len(own) <= THINNED else own
@@ -369,6 +372,7 @@ def unpacked(packed: DataFrame, n: int) -> DataFrame:
                 held.setdefault(kind, []).append(blob)
         if held:
             yield from done()
+        release()
 
     return packed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(each, "cluster long, line long")
 
@@ -420,7 +424,7 @@ def true_links(groups: DataFrame, texts: DataFrame) -> DataFrame:
 def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc, twin and ``gone``, the numbers of the lines that it loses, for each keyed document that loses any."""
     n = shuffle_partitions(docs.sparkSession)
-    found = save(unpacked(packed_keys(docs, 2 * n, min_words), n), "line-groups")
+    found = save(unpacked(packed_keys(docs, 4 * n, min_words), n), "line-groups")
     groups = save(found.where("cluster is not null").distinct(), "groups")
     occurs = save(occurrences(docs, BitFilter(found, "line", hashed=True), BitFilter(groups, "line", hashed=True), min_words), "lines")
     texts = occurs.where("form is not null").select("line", "short", "form").dropDuplicates(["line"])
@@ -431,7 +435,8 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     placed = save(placed, "placed")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "twin", "nth")
     first = placed.groupBy("group").agg(F.min(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("group", F.col("kept.doc").alias("d"), F.col("kept.twin").alias("t"), F.col("kept.nth").alias("k"))
-    lost = placed.join(first, "group").where("not (doc = d and twin = t and nth = k)")
+    # a stored side lets Spark split the other where a line is very frequent
+    lost = placed.join(save(first, "firsts"), "group").where("not (doc = d and twin = t and nth = k)")
     return lost.groupBy("doc", "twin").agg(F.collect_set("nth").alias("gone"))  # no more than a document has lines
 
 
