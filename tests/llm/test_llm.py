@@ -182,30 +182,30 @@ def test_hilbert(spark, docs, empty):
     assert hilbert.shard_documents(empty).count() == 0
 
 
-def line_oracle(rows):
+def linked(sets, num):
+    """For each set the least index reachable by similarity of ``num`` % or more; empty sets are linked with nothing."""
+    least = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= num * (len(sets[i]) + len(sets[j]) - both) and least[i] != least[j]:
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    return least
+
+
+def line_oracle(rows, min_words=line_dedup.MIN_WORDS):
     """Which (document, line) places go, by all pairs of lines."""
     places = defaultdict(list)
     for d, t in rows:
         for i, x in enumerate((t or "").encode().split(b"\n")):
-            if form := line_dedup.compared(x):
+            if form := line_dedup.compared(x, min_words):
                 places[form].append((d is None, d or 0, i))
     forms = list(places)
-    sets = [{f.decode()[i : i + 8] for i in range(len(f.decode()) - 7)} for f in forms]
-    parent = list(range(len(forms)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(forms)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
-                parent[find(i)] = find(j)
+    least = linked([{f.decode()[i : i + 5] for i in range(len(f.decode()) - 4)} for f in forms], 80)
     groups = defaultdict(list)
     for i, f in enumerate(forms):
-        groups[find(i)] += places[f]
+        groups[least[i]] += places[f]
     return {p for g in groups.values() for p in sorted(set(g))[1:]}
 
 
@@ -247,37 +247,98 @@ def shingles(text):
 def test_near_dup(docs, empty):
     rows = docs.select("doc_id", "text").collect()
     sets = [shingles(r.text) for r in rows]
-    parent = list(range(len(rows)))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
-                parent[find(i)] = find(j)
+    root = linked(sets, 85)
     least = {}
     for i, r in enumerate(rows):
         key = (r.doc_id is None, r.doc_id or 0)
-        least[find(i)] = min(least.get(find(i), key), key)
-    want = Counter((r.doc_id, len(s), None if least[find(i)][0] else least[find(i)][1]) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
+        least[root[i]] = min(least.get(root[i], key), key)
+    want = Counter((r.doc_id, len(s), None if least[root[i]][0] else least[root[i]][1]) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.components(docs).collect()) == want
     kept = near_dup.deduplicate(docs, 85, 100)
     alone = sum(not s for s in sets)
-    assert kept.columns == docs.columns and kept.count() == len({find(i) for i, s in enumerate(sets) if s}) + alone
+    assert kept.columns == docs.columns and kept.count() == len({root[i] for i, s in enumerate(sets) if s}) + alone
     assert near_dup.components(empty).count() == near_dup.deduplicate(empty).count() == 0
 
 
+def small_lists(monkeypatch):
+    for name, value in {"BLOCK": 8, "MANY": 4, "CENTRES": 2, "MATRIX": 64}.items():
+        monkeypatch.setattr(near_dup, name, value)
+
+
 def test_large_lists_and_clusters_are_dealt_in_blocks(spark, monkeypatch):
+    """Many different groups that share a passage, so in the same lists, and one large group."""
     rng = random.Random(8)
-    base = prose(rng, 120).split(" ")
-    rows = [(i, " ".join(w if j != i else "other" for j, w in enumerate(base))) for i in range(60)] + [(100 + i, prose(rng, 60)) for i in range(20)]
-    monkeypatch.setattr(near_dup, "BLOCK", 8)
-    got = {r.doc_id: r.component_id for r in near_dup.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {i: 0 if i < 60 else i for i, _ in rows}
+    base, passage, rows = prose(rng, 120).split(" "), prose(rng, 40), []
+    for i in range(60):
+        rows.append((i, " ".join(w if j != i else "other" for j, w in enumerate(base))))
+    for g in range(40):  # one word of 88 changed: 83 of 93 shingles or so are shared
+        own = prose(rng, 60).split(" ")
+        for k in range(3):
+            i = 100 + 3 * g + k
+            rows.append((i, passage + " " + " ".join(w if j != 30 * k else "other" for j, w in enumerate(own))))
+    want = {i: rows[k][0] for (i, _), k in zip(rows, linked([shingles(t) for _, t in rows], 85), strict=True)}
+    assert sum(want[i] != i for i in want) > 100 and want[59] == 0
+    small_lists(monkeypatch)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.components(docs).collect()} == want
+    parts = near_dup.listed(near_dup.sign(docs)).select("j").distinct().collect()
+    assert max(r.j for r in parts) > 0  # lists were cut in parts
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of similarity 0.80 to 0.85 among texts that share half of their words with all others."""
+    rng = random.Random(21)
+    shared, rows, pairs = prose(rng, 40), [], []
+    for k in range(200):
+        own = prose(rng, 75).split(" ")
+        near = list(own)
+        for j in (20, 50):
+            near[j] = "other"
+        pair = [f"{shared} {' '.join(x)}" for x in (own, near)]
+        a, b = map(shingles, pair)
+        assert 80 <= 100 * len(a & b) / len(a | b) <= 85
+        pairs.append((2 * k, 2 * k + 1))
+        rows += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+    got = {r.doc_id: r.component_id for r in near_dup.components(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100).collect()}
+    assert all(got[b] == a for a, b in pairs) and all(got[a] == a for a, _ in pairs)
+
+
+def test_linked_sets_agree_by_product_and_by_lists(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.choice(60, rng.integers(1, 40), replace=False)).astype(np.uint64) for _ in range(60)]
+    sets += [np.append(s, 100 + i).astype(np.uint64) for i, s in enumerate(sets[:20])]
+
+    def parts(forest):
+        of = list(range(len(sets)))
+        for a, b in forest:
+            of = [of[a] if x == of[b] else x for x in of]
+        return [of.index(x) for x in of]
+
+    by_product = parts(near_dup.linked_sets(sets, 80, 100))
+    monkeypatch.setattr(near_dup, "MATRIX", 0)
+    assert parts(near_dup.linked_sets(sets, 80, 100)) == by_product
+    brute = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 80 * len(set(sets[i]) | set(sets[j]))]
+    assert parts(brute) == by_product
+
+
+def test_line_dedup_among_templated_lines(spark, monkeypatch):
+    """Lines of one template that are alike to about 0.6, and pairs of 0.8 to 0.85 among them; long lists go by centres and cuts."""
+    rng = random.Random(5)
+    shared, lines = prose(rng, 12), []
+    five = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    for _ in range(120):
+        own = prose(rng, 9)
+        near = own[:14] + "#" + own[15:-14] + "#" + own[-13:]
+        pair = [f"{shared} {own}", f"{shared} {near}"]
+        assert len(five(pair[0]) & five(pair[1])) / len(five(pair[0]) | five(pair[1])) >= 0.8
+        lines += pair
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    want = sum(1 for _ in line_oracle([(i, x) for i, x in enumerate(lines)], 1))
+    got = sum(r.n_removed for r in line_dedup.line_counts(docs, 1).collect())
+    assert got == want >= 120
+    for name, value in {"MANY": 4, "CENTRES": 2, "THINNED": 16, "LINES": 8}.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    assert sum(r.n_removed for r in line_dedup.line_counts(docs, 1).collect()) == want
 
 
 def test_gru_gradients_and_scores():

@@ -1,26 +1,28 @@
 """MinHash near-dedup (operator 8): bottom-k sketches from one hash function.
 
-1. Every document gets its set of five-word shingles, a fingerprint of the
+1. Every document gets its set of five-word shingles, a 128-bit fingerprint of the
    whole set, and the ``K`` smallest shingle hashes. Equal sets are one class
    from here on, so copies never meet in a group.
-2. Inverted lists: each two neighbours among the first ``FRONT`` retained values
-   are a key. At the similarity asked for, two sets miss all common keys with a
-   chance of about 3e-6; unlike single values, such keys tell texts that only
-   share a passage from copies. Lists of one class are dropped by their counts.
-3. Within a list the union sketch estimates similarities to a few pivots; who is
-   within reach of a pivot is joined to it. Pairs never leave a task. A list of
-   more than ``BLOCK`` classes is dealt out in parts that all hold the same
-   anchors.
-4. Lists' links give provisional clusters by distributed union-find. The full
-   sets of a cluster's classes meet once; exact intersections decide, and only a
-   spanning forest of true links leaves. A cluster of more than ``BLOCK``
-   classes is compared block by block, every two blocks in a task of their own.
+2. Inverted lists of retained values: a class is in the lists of its ``FRONT``
+   smallest. At a similarity of 0.8 two classes miss all common lists with a
+   chance of 0.2^8 = 3e-6. Lists of one class are dropped by their counts. The
+   members of a list of more than ``BLOCK`` classes (a common passage) are listed
+   anew by this value and each of the ``NEXT`` that follow it; where that still
+   gives more than ``BLOCK``, every two parts of the list meet in a task.
+3. Within a list the sketches' overlaps, and of what overlaps enough the
+   similarity estimated from the union sketch, tell which classes are near.
+   Stars, a centre and all that is near it, cover the near pairs, so pairs never
+   leave a task, and a group of copies needs about one star.
+4. The full sets of a star meet once; exact intersections decide, every two
+   blocks of a large star in a task of their own, and only a spanning forest of
+   true links leaves.
 5. Union-find over the true links.
 
 Defined results: without words or text the set is empty, linked with nothing;
 with fewer than five words the whole sequence is the one shingle; null ids rank
 after all others; repeated ids each keep their rows; an empty table gives no
-rows; other columns are ignored (``components``) or kept (``deduplicate``).
+rows; other columns, whatever their names, are ignored (``components``) or kept
+(``deduplicate``).
 """
 
 from __future__ import annotations
@@ -37,20 +39,21 @@ from pyspark.sql.window import Window
 
 from twinfold.operators.components import connected_components
 
-from .common import BitFilter, fresh, id_and_text, raw_bytes, save, shuffle_partitions, slices
+from .common import BitFilter, fresh, id_and_text, raw_bytes, release, save, shuffle_partitions, slices
 from .wordhash import Words, chunks, distinct, mix
 
 WORDS = 5
 K = 64
-FRONT = 16
+FRONT, NEXT = 8, 8
 BLOCK = 4096
-ANCHORS = 8
+#: Lists beyond this many first give the stars of a few centres and drop what nearly equals one.
+MANY, CENTRES = 1024, 32
 #: Entries of the largest 0-1 matrix that stands for some sets (4 bytes each).
 MATRIX = 1 << 23
-#: Estimated similarity to a pivot from which a class joins it, and from which it needs no pivot of its own.
-LOOSE, TIGHT = 0.5, 0.8
+#: Estimated similarity from which two classes are near (0.8 is four deviations above), and from which one stands for the other in a long list.
+NEAR, EQUAL = 0.6, 0.95
 
-SIGNED = "row long, doc_id long, n_shingles long, f1 long, f2 long, sketch array<float>, keys array<long>"
+SIGNED = "row long, doc_id long, n_shingles long, f1 long, f2 long, sketch array<float>, front array<long>"
 _SALT1, _SALT2 = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
@@ -78,20 +81,15 @@ def fingerprint(own: np.ndarray) -> tuple[int, int]:
     return int(mix(own ^ _SALT1).sum(dtype=np.uint64).astype(np.int64)), int(mix(own ^ _SALT2).sum(dtype=np.uint64).astype(np.int64))
 
 
-def list_keys(own: np.ndarray) -> np.ndarray:
-    front = own[:FRONT]
-    return mix(front[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ front[1:]).astype(np.int64)
-
-
 def sign(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """Set size, fingerprint, sketch and list keys of every document."""
+    """Set size, fingerprint, sketch and the first retained values of every document."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 1024):
             rows = []
             for doc, own in zip(batch.column("doc_id").to_pylist(), shingle_sets(raw_bytes(batch.column("text")), words), strict=True):
-                rows.append((row, doc, len(own), *fingerprint(own), own[:K].astype(np.float32), list_keys(own)))
+                rows.append((row, doc, len(own), *fingerprint(own), own[:K].astype(np.float32), own[: FRONT + NEXT].astype(np.int64)))
                 row += 1
             kinds = [pa.int64()] * 5 + [pa.list_(pa.float32()), pa.list_(pa.int64())]
             columns = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -100,54 +98,77 @@ def sign(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return id_and_text(docs).mapInArrow(each, SIGNED)
 
 
-def union_estimate(sketches: np.ndarray, pivot: np.ndarray) -> np.ndarray:
-    """Similarity of each row to the pivot by the K smallest values of the two sketches' union. Rows are ascending, padded with infinity."""
-    both = np.sort(np.concatenate([sketches, np.broadcast_to(pivot, sketches.shape)], axis=1), axis=1)
+def union_estimate(sketches: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Similarity of each row to ``other`` by the K smallest values of the two sketches' union. Rows are ascending, padded with infinity."""
+    both = np.sort(np.concatenate([sketches, np.broadcast_to(other, sketches.shape)], axis=1), axis=1)
     real = np.isfinite(both)
     again = np.zeros(both.shape, bool)
     again[:, 1:] = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
-    distinct = np.cumsum(real & ~again, axis=1)
-    within = distinct <= K
-    return (again & within).sum(1) / np.maximum(1, np.minimum(distinct[:, -1], K))
-
-
-def canopies(sketches: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
-    """Links (pivot, member) of one list, none that earlier links imply. Whoever
-    is close to a pivot needs none of its own: a text within the threshold of it
-    is then in the pivot's reach."""
-    b = len(sketches)
-    if b < 2:
-        return []
-    if b == 2:
-        return [(0, 1)] if union_estimate(sketches[1:], sketches[0])[0] >= LOOSE else []
+    distinct_ = np.cumsum(real & ~again, axis=1)
+    within = distinct_ <= K
+    return (again & within).sum(1) / np.maximum(1, np.minimum(distinct_[:, -1], K))
+
+
+def overlaps(sketches: np.ndarray) -> np.ndarray:
+    """How many retained values every two rows share."""
     real = np.isfinite(sketches)
-    _, ids = np.unique(sketches[real], return_inverse=True)
-    owner = np.nonzero(real)[0]
+    row = np.nonzero(real)[0]
+    _, ids, count = np.unique(sketches[real], return_inverse=True, return_counts=True)
+    many = count > 1
+    row, ids = row[many[ids]], (np.cumsum(many) - 1)[ids[many[ids]]]
+    total, width = np.zeros((len(sketches), len(sketches)), np.float32), 4096
     order = np.argsort(ids, kind="stable")
-    cut = np.searchsorted(ids[order], np.arange(ids.max() + 2 if len(ids) else 1))
-    by_value = owner[order]
-    first = np.searchsorted(owner, np.arange(b + 1))
-    have = real.sum(1)
-    popular = np.bincount(owner, weights=np.diff(cut)[ids], minlength=b)
-    active, links = np.ones(b, bool), []
-    group = np.arange(b)
-    for p in np.argsort(-popular, kind="stable"):
-        if not active[p]:
+    row, ids = row[order], ids[order]
+    for lo in range(0, int(many.sum()), width):
+        a, b = np.searchsorted(ids, (lo, lo + width))
+        table = np.zeros((len(sketches), width), np.float32)
+        table[row[a:b], ids[a:b] - lo] = 1
+        total += table @ table.T
+    return total
+
+
+def _alike(sizes: np.ndarray, other: int) -> np.ndarray:
+    """Sizes that a similarity of a half allows."""
+    return 2 * np.minimum(sizes, other) >= np.maximum(sizes, other)
+
+
+def stars(sketches: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(centre, members) so that every two near rows are in one star together; if
+    stars had many rows twice, all rows that have a neighbour are one."""
+    rest, sent = np.arange(len(sketches)), 0
+    for _ in range(CENTRES):
+        if len(rest) <= MANY:
+            break
+        if sent > 2 * len(sketches):
+            yield 0, np.arange(len(sketches))
+            return
+        guess = np.where(_alike(sizes[rest], sizes[rest[0]]), union_estimate(sketches[rest], sketches[rest[0]]), 0)
+        guess[0] = 1  # the centre
+        if (guess >= NEAR).sum() > 1:
+            yield int(rest[0]), rest[guess >= NEAR]
+            sent += int((guess >= NEAR).sum())
+        rest = rest[1:][guess[1:] < EQUAL]
+    have = np.isfinite(sketches[rest]).sum(1)
+    own, left = sizes[rest], np.triu(overlaps(sketches[rest]) >= np.maximum(1, 0.4 * np.minimum(have, have[:, None])), 1)
+    left &= _alike(own, own[:, None])
+    near = left | left.T
+    some, out, sent = int(near.any(axis=1).sum()), [], 0
+    for p in np.flatnonzero(left.any(axis=1)).tolist():
+        if not left[p].any():
             continue
-        active[p] = False
-        own = ids[first[p] : first[p + 1]]
-        common = np.bincount(np.concatenate([by_value[cut[v] : cut[v + 1]] for v in own]), minlength=b) if len(own) else np.zeros(b)
-        near = np.flatnonzero(active & (common >= 0.4 * np.minimum(have, have[p])) & (2 * np.minimum(sizes, sizes[p]) >= np.maximum(sizes, sizes[p])))
-        if not len(near):
+        maybe = np.flatnonzero(near[p])
+        star = maybe[union_estimate(sketches[rest[maybe]], sketches[rest[p]]) >= NEAR]
+        left[p] = False
+        if not len(star):
             continue
-        guess = union_estimate(sketches[near], sketches[p])
-        joined = near[guess >= LOOSE]
-        _, one = np.unique(group[joined], return_index=True)
-        new = [int(i) for i in joined[one] if group[i] != group[p]]
-        links += [(int(p), i) for i in new]
-        group[np.isin(group, group[new])] = group[p]
-        active[near[guess >= TIGHT]] = False
-    return links
+        star = np.append(p, star)
+        left[np.ix_(star, star)] = False
+        sent += len(star)
+        if sent > 2 * some:
+            yield int(rest[p]), rest[near.any(axis=1)]
+            return
+        out.append((int(rest[p]), rest[star]))
+    yield from out
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
@@ -169,6 +190,8 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[t
             held.append(batch.slice(a, b - a))
     if held:
         yield now, pa.Table.from_batches(held)
+    del held
+    release()
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str], *columns: str) -> Iterator[tuple[list, ...]]:
@@ -199,29 +222,39 @@ def _padded(lists: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def candidate_links(reps: DataFrame) -> DataFrame:
-    """(src, dst) between classes that a list's pivots join; ``reps`` has row, n_shingles, sketch, keys."""
-    spark = reps.sparkSession
-    n = shuffle_partitions(spark)
-    light = reps.select("row", F.explode(F.array_distinct("keys")).alias("key"))
-    counted = light.groupBy("key").agg(F.count("*").alias("size"), *(F.min_by("row", F.xxhash64("row", F.lit(i))).alias(f"a{i}") for i in range(ANCHORS))).where("size > 1")
-    counted = save(counted.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "lists")
-    listed = light.join(counted.select("key", "parts"), "key").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    hot = counted.where("parts > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.array(*(f"a{i}" for i in range(ANCHORS))).alias("anchors"))
-    anchors = hot.select("key", "part", F.explode(F.array_distinct("anchors")).alias("row"))
-    members = listed.select("key", "part", "row").union(anchors.select("key", "part", "row"))
-    full = members.join(reps.select("row", "n_shingles", "sketch"), "row")
+def listed(reps: DataFrame) -> DataFrame:
+    """(key, i, j, row): who meets in which list; ``reps`` has row and front."""
+    light = reps.select("row", F.explode(F.slice("front", 1, FRONT)).alias("key"))
+    counted = save(light.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "lists")
+    cold = light.join(counted.where(F.col("size") <= BLOCK), "key").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "row")
+    hot = light.join(counted.where(F.col("size") > BLOCK), "key").select("key", "row")
+    after = F.slice("front", F.array_position("front", F.col("key")).cast("int") + 1, NEXT)
+    again = hot.join(reps.select("row", "front"), "row").select("row", "key", F.explode(after).alias("next"))
+    again = save(again.select("row", F.xxhash64("key", "next").alias("key")), "hot")
+    parts = again.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("parts"))
+    dealt = again.join(save(parts, "hot-lists"), "key").withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = dealt.select("key", "row", "own", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "row")
+    return cold.union(dealt)
+
+
+def candidates(reps: DataFrame) -> DataFrame:
+    """(cluster, row): stars of near classes; ``reps`` has row, n_shingles, sketch, front."""
+    n = shuffle_partitions(reps.sparkSession)
+    full = listed(reps).join(reps.select("row", "n_shingles", "sketch"), "row")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in runs(batches, ["key", "part"]):
+        for _, table in runs(batches, ["key", "i", "j"]):
             rows = table.column("row").to_numpy()
-            _, one = np.unique(rows, return_index=True)
-            links = canopies(_padded(table.column("sketch").take(one)), table.column("n_shingles").to_numpy()[one])
-            if links:
-                a, b = np.asarray(links).T
-                yield pa.RecordBatch.from_arrays([pa.array(rows[one][a]), pa.array(rows[one][b])], names=["src", "dst"])
+            rows, one = np.unique(rows, return_index=True)
+            if len(rows) < 2:
+                continue
+            found = list(stars(_padded(table.column("sketch").take(one)), table.column("n_shingles").to_numpy()[one]))
+            if found:
+                centre = np.concatenate([np.full(len(s), rows[c]) for c, s in found])
+                yield pa.RecordBatch.from_arrays([pa.array(centre), pa.array(np.concatenate([rows[s] for _, s in found]))], names=["cluster", "row"])
 
-    return full.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(each, "src long, dst long")
+    return full.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(each, "cluster long, row long").distinct()
 
 
 def linked_sets(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
@@ -345,9 +378,10 @@ def exact_forest(full: DataFrame, payload: str, to_sets, num: int, den: int) ->
     return dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(link, "src long, dst long")
 
 
-def true_links(docs: DataFrame, members: DataFrame, num: int, den: int, words: int) -> DataFrame:
-    """Exact links within provisional clusters; ``members`` has row, doc_id, n_shingles, f1, f2, cluster."""
-    wanted = members.select(F.col("doc_id").alias("id"))
+def true_links(docs: DataFrame, classes: DataFrame, members: DataFrame, num: int, den: int, words: int) -> DataFrame:
+    """Exact links within stars; ``members`` has cluster and row, ``classes`` row, doc_id, n_shingles, f1, f2."""
+    some = save(classes.join(members.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "n_shingles", "f1", "f2"), "near-classes")
+    wanted = some.select(F.col("doc_id").alias("id"))
     texts = BitFilter(wanted, "id").keep(id_and_text(docs), "doc_id")
     texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.id), "left_semi")
 
@@ -359,7 +393,11 @@ def true_links(docs: DataFrame, members: DataFrame, num: int, den: int, words: i
             arrays = [pa.array(c, type=pa.int64()) for c in columns] + [pa.array([s.tobytes() for s in own], type=pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["n_shingles", "f1", "f2", "set"])
 
-    full = texts.mapInArrow(sets, "n_shingles long, f1 long, f2 long, set binary").join(to_blocks(members.withColumn("bytes", 8 * F.col("n_shingles"))), ["n_shingles", "f1", "f2"])
+    made = texts.mapInArrow(sets, "n_shingles long, f1 long, f2 long, set binary").join(some.drop("doc_id"), ["n_shingles", "f1", "f2"])
+    # an id with several rows may have given a set more than once
+    made = save(made.groupBy("row").agg(F.first("set").alias("set")), "sets")
+    sized = members.join(some.select("row", (8 * F.col("n_shingles")).alias("bytes")), "row")
+    full = to_blocks(save(sized, "members")).join(made, "row")
     return exact_forest(full, "set", lambda rows: [np.frombuffer(x, np.uint64) for x in rows], num, den)
 
 
@@ -369,10 +407,9 @@ def components(docs: DataFrame, num: int = 85, den: int = 100, words: int = WORD
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
     classes = signed.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(best)
     classes = save(classes.select("n_shingles", "f1", "f2", "best.none", "best.doc_id", "best.row"), "classes")
-    reps = save(signed.join(classes.select("row"), "row", "left_semi").select("row", "n_shingles", "sketch", "keys"), "sketches")
-    clusters = connected_components(candidate_links(reps))
-    members = save(classes.join(clusters.select(F.col("id").alias("row"), F.col("component").alias("cluster")), "row"), "members")
-    joined = connected_components(true_links(docs, members, num, den, words))
+    reps = save(signed.join(classes.select("row"), "row", "left_semi").select("row", "n_shingles", "sketch", "front"), "sketches")
+    members = save(candidates(reps), "stars")
+    joined = connected_components(true_links(docs, classes, members, num, den, words))
     of = classes.join(joined.select(F.col("id").alias("row"), F.col("component").alias("root")), "row", "left").withColumn("root", F.coalesce("root", "row"))
     of = save(of, "roots")
     least = of.groupBy("root").agg(F.min(F.struct("none", "doc_id", "row")).alias("least"))
@@ -411,8 +448,9 @@ def deduplicate(docs: DataFrame, num: int = 80, den: int = 100, words: int = WOR
     few = few.mapInArrow(prints, StructType([*docs.schema.fields, StructField(mark, StringType())]))
     order = Window.partitionBy(doc_id, mark).orderBy(text)
     few = few.withColumn(nth, F.row_number().over(order))
-    tags = kept.groupBy(F.col("doc_id").alias(key), F.concat_ws(":", "n_shingles", "f1", "f2").alias("tag")).agg(F.count("*").alias("left"))
-    few = few.join(tags, few[doc_id].eqNullSafe(F.col(key)) & (few[mark] == F.col("tag")) & (few[nth] <= F.col("left")), "left_semi")
+    tag, left = fresh(few, "tag"), fresh(few, "left")
+    tags = kept.groupBy(F.col("doc_id").alias(key), F.concat_ws(":", "n_shingles", "f1", "f2").alias(tag)).agg(F.count("*").alias(left))
+    few = few.join(tags, few[doc_id].eqNullSafe(F.col(key)) & (few[mark] == F.col(tag)) & (few[nth] <= F.col(left)), "left_semi")
     return rest.unionByName(few.select(*names))
 
 
