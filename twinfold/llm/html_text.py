@@ -4,9 +4,15 @@ A page is read into a tree by one pass over its tags, with the usual repairs
 (void elements, paragraphs and list items that end implicitly, stray end tags,
 missing ends). Boilerplate subtrees go by element, role or the names in class
 and id. Every paragraph then passes points for its length and commas to its
-ancestors, less at each step; a container's points are discounted by the share
-of its text that is in links. The best container is kept, widened to the
-article around it, with those siblings that hold similar text.
+ancestors, less at each step; a paragraph's points and a container's are
+discounted by the share of its text that is in links. The best container is
+kept, with those siblings
+that hold similar text; an article element around it that has a fair share of
+its points, as it does when its text is not in deeper boxes, takes its place.
+Headings in an article's header are kept, the rest of the header isn't.
+
+Reading is linear in the page: a quote counts only where a value begins, and
+what never ends is text or, as a comment or script, nothing.
 
 Text comes out by blocks in page order: character references decoded, white
 space inside a block made one space, ``\\n\\n`` between blocks.
@@ -19,6 +25,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -35,7 +42,7 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 DROPPED = frozenset(
-    "script style textarea title xmp iframe noembed noframes head nav aside footer header form template noscript svg math canvas object embed audio video button select option input dialog menu".split()
+    "script style textarea title xmp iframe noembed noframes head nav aside footer header form template noscript svg canvas object embed audio video button select option input dialog menu".split()
 )
 PARAGRAPH = frozenset("p pre td blockquote li dd h1 h2 h3 h4 h5 h6 div section article main".split())
 #: An open element of the first kind ends when one of the second begins.
@@ -50,16 +57,27 @@ BAD_NAMES = re.compile(
     re.I,
 )
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-_TOKEN = re.compile(r"<(?:!--(.*?)(?:-->|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?][^>]*>)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_MARKUP = re.compile(r"<(?=[a-zA-Z/!?])")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+#: What stands up to the end of a tag. A quote counts only after an equals sign; nothing is ever read twice.
+_REST = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+")
+_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
+
+
+#: Share of the best container's points from which the article around it is taken in its place.
+WIDEN = 0.3
+#: What opens below this depth holds nothing itself: its content goes to the element around it, in place.
+DEEPEST = 256
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "bad", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "parts", "bad", "score", "chars", "linked", "depth")
 
     def __init__(self, tag: str, parent: Node | None, bad: bool = False):
         self.tag, self.parent, self.parts, self.bad = tag, parent, [], bad
         self.score, self.chars, self.linked = 0.0, 0, 0
+        self.depth = parent.depth + 1 if parent else 0
 
 
 def _is_bad(tag: str, attributes: str) -> bool:
@@ -76,18 +94,74 @@ def _is_bad(tag: str, attributes: str) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
 
 
+def tokens(html: str) -> Iterator[tuple[str | None, bool, str, int]]:
+    """(name, whether an end tag, attributes, where it ends), or for text (None, False, text, where it ends).
+
+    One pass: the caller may send the place to go on from. Where quotes would
+    run over the end of the page, tags end at their first ``>`` from there on.
+    """
+    at, plain_ends = 0, False
+    while at < len(html):
+        m = _MARKUP.search(html, at)
+        begin = m.start() if m else len(html)
+        if begin > at:
+            yield None, False, html[at:begin], begin
+        if not m:
+            return
+        close = html.find(">", begin)
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else len(html)
+            continue
+        name = _NAME.match(html, begin + 1)
+        if close < 0 or not name:  # no tag: text if it never ends, else a comment of a kind
+            if close < 0:
+                yield None, False, html[begin:], len(html)
+                return
+            at = close + 1
+            continue
+        end = close if plain_ends else _REST.match(html, name.end()).end()
+        if end >= len(html):
+            plain_ends, end = True, close
+        at = end + 1
+        jump = yield name[2].lower(), bool(name[1]), html[name.end() : end], at
+        if jump is not None:
+            at = jump
+            yield "", False, "", at
+
+
+def _kept_heading(tag: str, now: Node) -> bool:
+    """Whether a heading stands in the header of an article, which is dropped but for its headings."""
+    if tag not in HEADINGS:
+        return False
+    while now is not None and now.tag != "header":
+        if now.bad:
+            return False
+        now = now.parent
+    while now is not None:
+        if now.tag in ("article", "main"):
+            return True
+        if now.bad and now.tag != "header":
+            return False
+        now = now.parent
+    return False
+
+
 def parse(html: str) -> Node:
     root = Node("html", None)
-    now, at = root, 0
-    for m in iter(lambda: _TOKEN.search(html, at), None):
-        if m.start() > at:
-            now.parts.append(html[at : m.start()])
-        at = m.end()
-        name = m[3]
-        if not name:
+    now = root
+    raw_ends: dict[str, re.Pattern] = {}
+    unended: set[str] = set()
+    skipped: Counter[str] = Counter()
+    reader = tokens(html)
+    for name, is_end, attributes, at in reader:
+        if name is None:
+            now.parts.append(unescape(attributes))
             continue
-        name = name.lower()
-        if m[2]:
+        if is_end:
+            if skipped[name]:
+                skipped[name] -= 1
+                continue
             node = now
             while node is not None and node.tag != name:
                 # An inline end tag doesn't close the blocks around it.
@@ -95,30 +169,38 @@ def parse(html: str) -> Node:
             if node is not None and node.parent is not None:
                 now = node.parent
             continue
-        attributes = m[4]
         if name in VOID:
             now.parts.append(Node(name, now))
             continue
         if name in BLOCK:  # inline elements left open end with the block they are in
-            node, end = now, None
+            node = now
             while node.parent is not None:
                 if node.tag in ENDS and name in ENDS[node.tag]:
-                    end = node
-                    break
-                if node.tag in SCOPE and node.tag not in ENDS:
+                    now = node.parent
+                elif node.tag in SCOPE:
                     break
                 node = node.parent
-            if end is not None:
-                now = end.parent
         node = Node(name, now, _is_bad(name, attributes))
-        now.parts.append(node)
+        if _kept_heading(name, now):  # before the header that it stands in
+            header = now
+            while header.tag != "header":
+                header = header.parent
+            header.parent.parts.insert(len(header.parent.parts) - 1, node)
+        else:
+            now.parts.append(node)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
-        elif not attributes.endswith("/"):
+            if name not in raw_ends:
+                raw_ends[name] = re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I)
+            end = None if name in unended else raw_ends[name].search(html, at)
+            if end is None:
+                unended.add(name)
+            reader.send(end.end() if end else len(html))
+        elif attributes.endswith("/"):
+            continue
+        elif node.depth <= DEEPEST or node.bad and not now.bad:
             now = node
-    if at < len(html):
-        now.parts.append(html[at:])
+        else:
+            skipped[name] += 1
     return root
 
 
@@ -174,7 +256,7 @@ def best_container(root: Node) -> list[Node]:
         text = _own_text(x)
         if not text:
             continue
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
+        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - x.linked / max(x.chars, 1))
         up, level = x.parent, 1
         while up is not None and level <= 4:
             if not up.score:
@@ -188,7 +270,7 @@ def best_container(root: Node) -> list[Node]:
     best = max(scored, key=lambda x: x.score)  # the first of equals
     around = best
     while around is not None:
-        if around.tag in ("article", "main"):
+        if around.tag in ("article", "main") and around.score >= WIDEN * best.score:
             best = around
             break
         around = around.parent
@@ -220,7 +302,7 @@ def blocks(nodes: list[Node]) -> Iterator[str]:
             continue
         edge = p.tag in BLOCK
         if edge or done:
-            text = " ".join(unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             run = []
             if text:
                 yield text
@@ -231,7 +313,7 @@ def blocks(nodes: list[Node]) -> Iterator[str]:
         if edge:
             stack.append((p, True))
         stack += [(q, False) for q in reversed(p.parts)]
-    text = " ".join(unescape("".join(run)).split())
+    text = " ".join("".join(run).split())
     if text:
         yield text
 
