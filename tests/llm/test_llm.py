@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -99,6 +100,30 @@ def test_html():
     assert html_text.main_text("<div>" * 3000 + "deep" + "</div>" * 10) == "deep"
 
 
+def test_html_scores_choose_the_container():
+    long = "A sentence, with some commas, that is long enough to count, as text of an article does."
+    menu = "".join(f"<div><a href=/{i}>Menu entry {i}, with a comma, and words</a></div>" for i in range(30))
+    page = f"<body><div id=a>{menu}</div><div id=b><h2>Head</h2><p>{long} 1<p>{long} 2<div><p>{long} 3</div></div><div id=c><p>Short.</p></div></body>"
+    assert html_text.main_text(page).split("\n\n") == ["Head", f"{long} 1", f"{long} 2", f"{long} 3"]
+    split = f"<body><div>{menu}</div><div><div><p>{long} 1<p>{long} 2</div><div><p>{long} 3</p></div><div>{menu}</div></div></body>"
+    assert html_text.main_text(split).split("\n\n") == [f"{long} 1", f"{long} 2", f"{long} 3"]  # a sibling is kept, a list of links isn't
+    teasers = f"<main><div><p>{long} 1<p>{long} 2</div><div>{menu}</div></main>"
+    assert "Menu" not in html_text.main_text(teasers.replace("main", "div"))
+    head = f"<article><header><h1>Title</h1><nav>Home</nav>By me</header><p>{long}</p></article><header><h1>Site</h1></header>"
+    assert html_text.main_text(head).split("\n\n") == ["Title", long]
+
+
+def test_html_of_odd_markup():
+    assert html_text.main_text("<p>First<p title=it's>Second") == "First\n\nSecond"
+    assert html_text.main_text("<p title='a > b'>One</p><p a=\"x\">Two < three &lt;b&gt; &amp;amp; 4 > 3") == "One\n\nTwo < three <b> &amp; 4 > 3"
+    assert html_text.main_text("<p>a &am<b>p; c</b>") == "a &amp; c" and html_text.main_text("<ul><li><p>a<li>b</ul>") == "a\n\nb"
+    hostile = ["<a '", '<a x="', '<a x=">"', "<a ", "<", "<!--", "<script>", "<div>", "</", "<a =\"'", "<p>a<li>", "<b></i>", "<i><div><b>", "<ul><p></li>", "<td><h1>x"]
+    for x in hostile:
+        began = time.perf_counter()
+        html_text.main_text(x * (500_000 // len(x)))
+        assert time.perf_counter() - began < 6, x
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, None, "<article><p>Ti.</p></article>", 0), (None, "u", None, 0), (1, None, "<article><p>Ti.</p></article>", 0)], "page_id long, url string, html string, text long")
     assert sorted((r.page_id or -1, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(-1, "", 0), (1, "Ti.", 3), (1, "Ti.", 3)]
@@ -162,6 +187,45 @@ def test_tiling_finds_reordered_passages(spark, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 6
 
 
+def tiling(item, doc, least):
+    """Greedy string tiling by all pairs of places."""
+    free_i, free_d, out = set(range(len(item))), set(range(len(doc))), []
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(doc)):
+            for i in range(len(item)):
+                n = 0
+                while i + n in free_i and j + n in free_d and item[i + n] == doc[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return out
+        out.append((i, j, n))
+        free_i -= set(range(i, i + n))
+        free_d -= set(range(j, j + n))
+
+
+def test_tiling_against_all_pairs():
+    rng = np.random.default_rng(9)
+    for trial in range(150):
+        letters = int(rng.integers(1, 6))
+        item = rng.integers(1, letters + 1, rng.integers(0, 30)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        doc = rng.integers(1, letters + 1, rng.integers(0, 60)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        if trial % 2 and len(item) > 12:
+            doc = np.concatenate([doc, item[7:], doc[:3], item[:9]])
+        assert decontaminate.tile(item, doc, 3) == tiling(item.tolist(), doc.tolist(), 3)
+
+
+def test_tiling_of_repeated_words_is_linear():
+    bench = decontaminate.Benchmark([(1, b"a " * 2000), (2, b"a b " * 1000), (3, " ".join(f"w{i}" for i in range(500)).encode())])
+    began = time.perf_counter()
+    found = list(bench.held([b"a " * 20_000, b"b a " * 20_000 + b"a " * 3000, b""], decontaminate.COVER))
+    assert time.perf_counter() - began < 6
+    assert [(d, k) for d, k, *_ in found] == [(0, 0), (1, 0), (1, 1)]
+
+
 def test_hilbert(spark, docs, empty):
     from itertools import product
 
