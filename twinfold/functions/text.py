@@ -23,9 +23,11 @@ def year_windows(year: Column) -> tuple[Column, Column]:
 
 
 def windows(items: Column, n: int) -> Column:
-    """All runs of n neighbours of an array."""
-    starts = F.when(F.size(items) >= n, F.sequence(F.lit(1), F.size(items) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.slice(items, i, n))
+    """All runs of n neighbours of an array; none of a shorter one or of null."""
+    starts = lambda a: F.when(F.size(a) >= n, F.sequence(F.lit(1), F.size(a) - n + 1)).otherwise(F.array().cast("array<int>"))
+    # bound as an element first: a lambda evaluates what it closes over again for each window
+    bound = F.transform(F.array(items), lambda a: F.transform(starts(a), lambda i: F.slice(a, i, n)))
+    return F.element_at(bound, 1)
 
 
 def sliding(text: Column, n: int) -> Column:

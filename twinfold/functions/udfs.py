@@ -3,60 +3,93 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-# Fixed values of the name grammar.
-PARTICLES = ("de la", "de", "del", "di", "von", "van", "della")
-NOBODY = ("anonymous", "unknown", "-", "")
-_DROP = re.compile(r"[1-9!\"#$%&()*+/:;<=>?@\[\]\\^_`{|}~]")
+# Fixed values of the name grammar: particles, names of nobody, marks that mean nothing.
+PARTICLES = ("de", "del", "di", "de la", "von", "van", "della")
+NOBODY = re.compile(r".*anonym|.*unknown|\s*-")
+_DROP = re.compile(r"[1-9!\"#$%&'()*+/:;<=>?@\[\]\\^_`{|}~]")
+_LETTERS = str.maketrans({"ß": "ss", "æ": "ae", "Æ": "AE", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D"})
 
 # Types are objects: a worker that imports this has no session to parse strings with.
 AUTHOR = StructType([StructField(c, StringType()) for c in ("surname", "init", "first")])
 
 
-def parse_author(name: str | None, least_first: int = 3) -> tuple[str | None, str | None, str | None]:
-    """(surname, initial, first name) of ``Surname, First`` or ``First Surname``.
+def folded(text: str) -> str:
+    """Latin letters without their marks; what then isn't ASCII goes."""
+    return unicodedata.normalize("NFKD", text.translate(_LETTERS)).encode("ascii", "ignore").decode()
+
 
-    A first name needs ``least_first`` letters. A particle in the first part is
-    the surname (``Beethoven, van Ludwig``), one before a surname goes; of the
-    two parts the single letter is the first name.
+def split_author(name: str | None, least_first: int = 3) -> tuple[str | None, str | None, str | None]:
+    """(surname, initial, first name) as written: ``Surname, First`` or ``First Surname``.
+
+    A first name needs ``least_first`` letters and no single letter before a
+    hyphen. Where a particle leads the first names, all but the last of them are
+    the surname (``Berg, van der Jan``). Of two parts the single letter is the first name.
     """
-    text = " ".join(_DROP.sub("", name or "").lower().split())
-    if text in NOBODY:
-        return None, None, None
+    text = _DROP.sub("", folded(name or "")).strip(" \t\r\n,")
     if "," in text:
-        last, _, rest = (x.strip() for x in text.partition(","))
-    else:
-        head, _, last = text.rpartition(" ")
-        rest = head.strip()
-    rest = rest.replace(",", " ").strip()
-    tokens = rest.split()
-    for p in PARTICLES:
-        own = p.split()
-        if tokens[: len(own)] == own and len(tokens) > len(own):
-            last, tokens = p, tokens[len(own) :]
-            break
+        last, given = (x.strip() for x in text.split(",")[:2])
     else:
-        last = last.split()[-1] if last.split() else ""
-    first = tokens[0] if tokens else ""
-    if len(last) == 1 and len(first) > 1:
-        last, first = first, last
-        return last, first, first
-    init = first[:1] or None
-    head = re.split(r"[-.]", first)[0] if first else ""
-    whole = first.replace(".", "")
-    if ("-" in first or "." in first) and len(head) <= 1:
-        whole = ""
-    return (last or None), init, (whole if len(whole) >= least_first else None)
+        given, _, last = text.rpartition(" ")
+    last, tokens = last.lower(), given.lower().replace(".", " ").split()
+    first, init = tokens[0] if tokens and len(tokens[0]) >= least_first else None, tokens[0][0] if tokens else None
+    if first and "-" in first:
+        parts = [x for x in first.split("-") if x]
+        if not parts:
+            first = None
+        elif len(parts[0]) == 1:
+            first, init = None, parts[0]
+    if first in PARTICLES:
+        n = 0
+        while n < len(tokens) - 1 and len(tokens[n]) > 1:
+            n += 1
+        last, tokens = " ".join(tokens[:n]), tokens[n:]
+        first = tokens[0] if len(tokens[0]) >= least_first else None
+        init = first[0] if first else None
+    if first and len(last) == 1:
+        last, first, init = first, last, last
+    return last or None, init, first
+
+
+def finish_author(last: str | None, init: str | None, first: str | None) -> tuple[str | None, str | None, str | None]:
+    """A surname with dots is the first name; of several words the last counts; names of nobody are none."""
+    if last and "." in last:
+        bare = last.replace(".", "")
+        last, init, first = first, bare[:1] or None, bare if len(bare) > 2 else None
+    if last and last.split():
+        last = last.split()[-1]
+    return tuple(None if not x or NOBODY.match(x) else x for x in (last, init, first))
+
+
+def parse_author(name: str | None, least_first: int = 3) -> tuple[str | None, str | None, str | None]:
+    """``split_author`` and ``finish_author``, without a look at how frequent names are."""
+    return finish_author(*split_author(name, least_first))
+
+
+def _authors(rows: list) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["surname", "init", "first"], dtype=object)
 
 
 @F.pandas_udf(AUTHOR)
 def parse_authors(names: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_author(n) for n in names], columns=["surname", "init", "first"], dtype=object)
+    return _authors([parse_author(n) for n in names])
+
+
+@F.pandas_udf(AUTHOR)
+def split_authors(names: pd.Series) -> pd.DataFrame:
+    return _authors([split_author(n) for n in names])
+
+
+@F.pandas_udf(AUTHOR)
+def finish_authors(names: pd.DataFrame) -> pd.DataFrame:
+    clean = names.astype(object).where(names.notna(), None)
+    return _authors([finish_author(*row) for row in clean[["surname", "init", "first"]].itertuples(index=False)])
 
 
 def fnv1a64(values: list[bytes]) -> np.ndarray:

@@ -95,7 +95,7 @@ def spanning_parents(weighted: DataFrame) -> DataFrame:
 def levels(pairs: DataFrame) -> DataFrame:
     """How many direct steps the shortest way from a set down to each of its subsets takes.
 
-    (rep_id, general, level) with the set itself at 0; rounds are bounded by the longest chain.
+    (rep_id, general, level) from 1 on; the set itself is not listed. Rounds are bounded by the longest chain.
     """
     edges = direct_edges(pairs).select(F.col("sup").alias("from"), F.col("sub").alias("to"))
     now = edges.select("from", "to", F.lit(1).alias("level"))
@@ -110,8 +110,13 @@ def levels(pairs: DataFrame) -> DataFrame:
 
 
 def gini(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """Gini coefficient of a column within groups: (2 * sum(i * x_i) / (n * sum(x)) - (n + 1) / n)."""
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.withColumn("i_", F.row_number().over(w))
-    total = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.sum(F.col("i_") * F.col(value)).alias("moment"))
+    """Gini coefficient of a column within groups: (2 * sum(i * x_i) / (n * sum(x)) - (n + 1) / n).
+
+    Only distinct values are sorted: equal ones have neighbouring ranks, whose sum is known from their count.
+    """
+    counted = df.groupBy(*by, F.col(value).alias("x_")).agg(F.count("*").alias("c_"))
+    before = Window.partitionBy(*by).orderBy("x_").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counted.withColumn("b_", F.coalesce(F.sum("c_").over(before), F.lit(0)))
+    ranks = F.col("c_") * F.col("b_") + F.col("c_") * (F.col("c_") + 1) / 2
+    total = ranked.groupBy(*by).agg(F.sum("c_").alias("n"), F.sum(F.col("c_") * F.col("x_")).alias("total"), F.sum(ranks * F.col("x_")).alias("moment"))
     return total.select(*by, "n", (2 * F.col("moment") / (F.col("n") * F.col("total")) - (F.col("n") + 1) / F.col("n")).alias("gini"))

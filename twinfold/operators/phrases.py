@@ -81,16 +81,16 @@ def transitions(pairs: DataFrame, frequency: DataFrame) -> DataFrame:
     return weighed.select("term", "other", (F.col("raw") / F.sum("raw").over(Window.partitionBy("term"))).alias("weight"))
 
 
-def replace_until_stable(words: DataFrame, mapping: DataFrame, rounds: int = 20) -> DataFrame:
-    """Apply (term, chosen) to (id, pos, term) rows until nothing changes."""
+def replace_until_stable(words: DataFrame, mapping: DataFrame, rounds: int = 100) -> DataFrame:
+    """Apply (term, chosen) to (id, pos, term) rows until nothing changes; replacements that run in a circle raise."""
     now = words
     for _ in range(rounds):
         joined = now.join(mapping, "term", "left").select("id", "pos", F.coalesce("chosen", "term").alias("term"), (F.coalesce("chosen", "term") != F.col("term")).alias("changed"))
         joined = save(joined, "replaced")
         now = joined.drop("changed")
         if joined.where("changed").isEmpty():
-            break
-    return now
+            return now
+    raise ValueError(f"terms still change after {rounds} rounds: the replacements run in a circle")
 
 
 def substitutions(rows: DataFrame, terms: str, weights: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from twinfold.functions.udfs import osa_distance
+
 
 def violated(columns: list[str]) -> Column:
     """A restriction, a list of columns, is violated if all are null."""
@@ -84,16 +86,19 @@ def clean_gold(mentions: DataFrame, dois: DataFrame, types: DataFrame | None = N
 def verify_groups(members: DataFrame, least: float = 0.9, years: int = 1, most: int = 5) -> DataFrame:
     """Gold groups of 2 to ``most`` members whose titles are close in all pairs, years too, and sources all differ.
 
-    ``members`` has gold_id, source, year, title; titles are close by edit distance or prefix, over the longer or shorter length.
+    ``members`` has gold_id, source, year, title. Lower-cased titles are close by edit distance with swaps, over the longer
+    length, or by their common beginning, over the shorter. Unknown years don't speak against a group; a null title is unlike all others.
     """
     sized = members.withColumn("k_", F.count("*").over(Window.partitionBy("gold_id"))).where(F.col("k_").between(2, most))
     sized = sized.withColumn("i_", F.row_number().over(Window.partitionBy("gold_id").orderBy("title", "source", "year")))
     a, b = sized.alias("a"), sized.alias("b")
     pairs = a.join(b, (F.col("a.gold_id") == F.col("b.gold_id")) & (F.col("a.i_") < F.col("b.i_")))
-    x, y = F.col("a.title"), F.col("b.title")
-    edit = 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
-    prefix = F.when(F.startswith(x, y) | F.startswith(y, x), F.lit(1.0)).otherwise(0.0)
+    x, y = F.lower("a.title"), F.lower("b.title")
+    shorter = F.least(F.length(x), F.length(y))
+    edit = 1 - osa_distance(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))
+    common = F.size(F.filter(F.sequence(F.lit(1), F.greatest(shorter, F.lit(1))), lambda i: F.substring(x, F.lit(1), i) == F.substring(y, F.lit(1), i)))
+    prefix = F.when(shorter > 0, common / shorter).otherwise(0.0)
     checks = pairs.groupBy(F.col("a.gold_id").alias("gold_id")).agg(
-        F.min(F.greatest(edit, prefix)).alias("similarity"), F.max(F.abs(F.col("a.year") - F.col("b.year"))).alias("year_gap"), F.bool_or(F.col("a.source") == F.col("b.source")).alias("same_source")
+        F.min(F.coalesce(F.greatest(edit, prefix), F.lit(0.0))).alias("similarity"), F.max(F.abs(F.col("a.year") - F.col("b.year"))).alias("year_gap"), F.bool_or(F.col("a.source") == F.col("b.source")).alias("same_source")
     )
-    return checks.withColumn("verified", (F.col("similarity") >= least) & (F.col("year_gap") <= years) & ~F.col("same_source"))
+    return checks.withColumn("verified", (F.col("similarity") >= least) & F.coalesce(F.col("year_gap") <= years, F.lit(True)) & ~F.coalesce("same_source", F.lit(False)))

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from twinfold.operators.represent import represent, with_reps
 from twinfold.operators.specify import specify
+from twinfold.plans.storage import scratch
+from twinfold.sources.readers import publications as read_publications
 
 GROUPS = {"part": ["part"], "supp": ["supp"], "year": ["year"], "flag": ["flag"]}
 
@@ -66,6 +68,22 @@ def publications(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), (2000 + F.col("doc_id") % 20).cast("int").alias("year"))
 
 
+def publication_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as publications, written as JSON lines and read as such: one or two authors, in every eleventh with the names the wrong way round."""
+    parts = table(spark, sf_dir, "part")
+    one, two = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2))
+    key = F.col("p_partkey")
+    first = F.when(key % 11 == 0, F.concat_ws(", ", one, two)).when(key % 2 == 0, F.concat_ws(", ", two, one)).otherwise(F.col("p_name"))
+    second = F.when(key % 3 == 0, F.concat(two, F.lit(", van der "), one))
+    rows = parts.select(
+        key.cast("string").alias("coreId"), F.col("p_brand").alias("doi"), F.concat_ws("  ", "p_name", "p_type").alias("title"),
+        F.when(key % 7 != 0, F.concat((1990 + key % 30).cast("string"), F.lit("-05-01"))).alias("datePublished"), F.array_compact(F.array(first, second)).alias("authors"),
+    )
+    path = scratch(spark, "records")
+    rows.write.json(path)
+    return read_publications(spark, path)
+
+
 def institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with nation and region as classes."""
     joined = table(spark, sf_dir, "supplier").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 rows

@@ -11,6 +11,7 @@ from twinfold.operators import containment as C
 from twinfold.operators import evaluate as E
 from twinfold.operators import generalize as G
 from twinfold.operators import lattice as L
+from twinfold.operators import mentions as M
 from twinfold.operators import phrases as P
 from twinfold.operators import represent as R
 from twinfold.operators import simhash as H
@@ -18,6 +19,7 @@ from twinfold.operators import specify as S
 from twinfold.operators.components import connected_components
 from twinfold.plans import fixtures as X
 from twinfold.plans.storage import save
+from twinfold.sources import readers as I
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,11 +53,11 @@ M1B = (
 )
 PAIRS = """,
 rare AS (SELECT rep_id, feat FROM (SELECT rep_id, feat, row_number() OVER (PARTITION BY rep_id ORDER BY c, feat) AS rn FROM long JOIN cnt USING (feat)) WHERE rn = 1),
-pairs AS (SELECT a.rep_id AS sub, b.rep_id AS sup FROM rare r JOIN reps a ON a.rep_id = r.rep_id JOIN long l ON l.feat = r.feat
+pairs AS MATERIALIZED (SELECT a.rep_id AS sub, b.rep_id AS sup FROM rare r JOIN reps a ON a.rep_id = r.rep_id JOIN long l ON l.feat = r.feat
   JOIN reps b ON b.rep_id = l.rep_id AND b.n > a.n WHERE list_has_all(b.f, a.f))"""
 EDGES = PAIRS + """,
-minels AS (SELECT DISTINCT sub AS minel FROM pairs WHERE sub NOT IN (SELECT sup FROM pairs)),
-edges AS (SELECT sub AS minel, sup AS rep_id FROM pairs WHERE sub IN (SELECT minel FROM minels))"""
+minels AS MATERIALIZED (SELECT DISTINCT sub AS minel FROM pairs ANTI JOIN (SELECT DISTINCT sup AS above FROM pairs) ON sub = above),
+edges AS MATERIALIZED (SELECT sub AS minel, sup AS rep_id FROM pairs JOIN minels ON minel = sub)"""
 LABELS = EDGES + """,
 ends AS (SELECT minel AS a, rep_id AS b FROM edges UNION SELECT rep_id, minel FROM edges),
 lab AS (SELECT rep_id AS v, rep_id AS l FROM reps WHERE n > 0 UNION SELECT ends.b, lab.l FROM lab JOIN ends ON ends.a = lab.v AND lab.l < ends.b),
@@ -360,7 +362,7 @@ p AS (SELECT w1, w2, freq, freq / sum(freq) OVER (PARTITION BY w1) AS forward, f
 
 def _bigrams(spark, sf_dir):
     docs = X.publications(spark, sf_dir).select(F.explode(T.windows(T.words(F.col("title")), 2)).alias("g"))
-    return docs.groupBy(F.col("g")[0].alias("w1"), F.col("g")[1].alias("w2")).agg(F.count("*").alias("freq"))
+    return save(docs.groupBy(F.col("g")[0].alias("w1"), F.col("g")[1].alias("w2")).agg(F.count("*").alias("freq")), "bigrams")
 
 
 @query(_BIGRAMS + " SELECT * FROM p")
@@ -422,3 +424,104 @@ def gold_clusters(spark, sf_dir):
 def clean_gold(spark, sf_dir):
     dois = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doi"), (F.col("c_acctbal") >= 0).cast("int").alias("legal"))
     return S.clean_gold(X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("gold_id")), dois)
+
+
+_RECORDS = """WITH p AS (SELECT p_partkey AS k, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2, lower(p_type) AS t, p_brand, CAST(1990 + p_partkey % 30 AS INTEGER) AS y FROM part),
+raw AS (SELECT k, CASE WHEN k % 11 = 0 THEN w1 ELSE w2 END AS s, CASE WHEN k % 11 = 0 THEN w2 ELSE w1 END AS f FROM p),
+sur AS (SELECT s AS name, count(*) AS c FROM raw GROUP BY s),
+fst AS (SELECT name, count(*) AS c FROM (SELECT f AS name FROM raw UNION ALL SELECT w1 FROM p WHERE k % 3 = 0) GROUP BY name),
+sw AS (SELECT k, s, f, length(s) > 2 AND length(f) > 2 AND coalesce(a.c, 0) < coalesce(b.c, 0) AND coalesce(e.c, 0) < coalesce(d.c, 0) AS swap
+  FROM raw LEFT JOIN sur a ON a.name = s LEFT JOIN fst b ON b.name = s LEFT JOIN sur d ON d.name = f LEFT JOIN fst e ON e.name = f),
+au AS (SELECT k, CASE WHEN swap THEN f ELSE s END AS s, CASE WHEN swap THEN s ELSE f END AS f FROM sw),
+m AS (SELECT CAST(k AS VARCHAR) AS mention_id, CAST(k AS VARCHAR) AS original_id, p_brand AS gold_id, 1.0::DOUBLE AS freq, w1 || ' ' || w2 || ' ' || t AS title,
+  CASE WHEN k % 7 <> 0 THEN CAST((y - 1) || '' || y AS INTEGER) END AS year1, CASE WHEN k % 7 <> 0 THEN CAST(y || '' || (y + 1) AS INTEGER) END AS year2,
+  s AS a1sur, s || '_' || left(f, 1) AS a1init, CASE WHEN length(f) > 2 THEN s || '_' || f END AS a1first,
+  CASE WHEN k % 3 = 0 THEN 'der' END AS a2sur, CASE WHEN k % 3 = 0 THEN 'der_' || left(w1, 1) END AS a2init, CASE WHEN k % 3 = 0 THEN 'der_' || w1 END AS a2first,
+  w1 AS term1, w2 AS term2, t AS term3, CAST(NULL AS VARCHAR) AS term4 FROM p JOIN au USING (k))"""
+
+
+def _mentions(spark, sf_dir):
+    records = X.publication_records(spark, sf_dir)
+    surnames, firsts = M.name_frequencies(records)
+    return M.publication_mentions(records, save(surnames, "surnames"), save(firsts, "firsts"))
+
+
+@query(_RECORDS + " SELECT * FROM m")
+def publication_mentions(spark, sf_dir):
+    """JSON lines to mentions: names swapped by frequency, particles, year windows, terms."""
+    return _mentions(spark, sf_dir).drop(*(f"a{k}{p}" for k in (3, 4) for p in ("sur", "init", "first")), "term5", "term6", *(f"term{k}gen" for k in range(1, 7)))
+
+
+@query(_RECORDS + """, f AS (SELECT freq, list_sort(list_distinct(list_filter(['author:' || a1sur, 'author:' || a1init, 'author:' || a1first, 'author:' || a2sur, 'author:' || a2init, 'author:' || a2first,
+  'term:' || term1, 'term:' || term2, 'term:' || term3, 'year:' || year1, 'year:' || year2], lambda x: x IS NOT NULL))) AS f FROM m)
+SELECT sha1(array_to_string(f, chr(31))) AS rep_id, array_to_string(f, ' ') AS features, sum(freq) AS freq, len(f) AS n FROM f GROUP BY f""")
+def publication_reps(spark, sf_dir):
+    """JSON lines to representations."""
+    reps = R.represent(R.with_reps(_mentions(spark, sf_dir), M.mention_groups()))
+    return reps.select("rep_id", F.array_join("features", " ").alias("features"), "freq", F.col("n").cast("long").alias("n"))
+
+
+_NAMES = """SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN 'l' END AS l, CASE WHEN c_custkey % 3 <> 0 THEN 'last' END AS l_, CASE WHEN c_custkey % 2 = 0 THEN 'f' END AS f1, CASE WHEN c_custkey % 4 = 0 THEN 'first' END AS f1_,
+  CASE WHEN c_custkey % 7 = 0 THEN 's' END AS f2, CASE WHEN c_custkey % 14 = 0 THEN 'second' END AS f2_, CASE WHEN c_custkey % 17 = 0 THEN 't' END AS f3, CAST(NULL AS VARCHAR) AS f3_ FROM customer"""
+
+
+@query(f"SELECT c_custkey FROM ({_NAMES}) WHERE l IS NOT NULL AND (l_ IS NOT NULL OR f1 IS NULL) AND (f1_ IS NOT NULL OR f2 IS NULL) AND (f2_ IS NOT NULL OR f3 IS NULL)")
+def valid_author(spark, sf_dir):
+    every = lambda n, x: F.when(F.col("c_custkey") % n == 0, F.lit(x))
+    but = lambda n, x: F.when(F.col("c_custkey") % n != 0, F.lit(x))
+    rows = X.table(spark, sf_dir, "customer").select(
+        "c_custkey", but(5, "l").alias("l"), but(3, "last").alias("l_"), every(2, "f").alias("f1"), every(4, "first").alias("f1_"),
+        every(7, "s").alias("f2"), every(14, "second").alias("f2_"), every(17, "t").alias("f3"), F.lit(None).cast("string").alias("f3_"),
+    )
+    return S.valid_author(rows).select("c_custkey")
+
+
+@query("""SELECT l_orderkey, l_linenumber, (l_orderkey % 3 <> 0) AND (l_linenumber % 2 = 0 OR l_orderkey % 5 <> 0) AS satisfied, l_orderkey % 5 <> 0 AND l_returnflag = 'R' AS returned FROM lineitem""")
+def restriction_checks(spark, sf_dir):
+    rows = X._cells(X.table(spark, sf_dir, "lineitem"))
+    return rows.select("l_orderkey", "l_linenumber", S.satisfies([["supp"], ["year", "flag"]]).alias("satisfied"), S.has_value(["flag", "supp"], "R").alias("returned"))
+
+
+@query(M1 + """ SELECT rep_id, n >= 2 AND NOT (len(list_filter(f, lambda x: x LIKE 'supp:%')) > 0 AND len(list_filter(f, lambda x: x LIKE 'flag:%')) = 0)
+  AND NOT (len(list_filter(f, lambda x: x LIKE 'year:%')) > 0 AND len(list_filter(f, lambda x: x LIKE 'flag:%')) > 0) AS ok FROM reps""")
+def licensed(spark, sf_dir):
+    reps = X.record_reps(spark, sf_dir)
+    return reps.select("rep_id", S.licensed(F.col("features"), [("supp", "flag")], [("year", "flag")]).alias("ok"))
+
+
+@query(M1 + EDGES + """, k AS (SELECT rep_id FROM edges GROUP BY rep_id HAVING count(*) > 1),
+big AS (SELECT minel FROM edges JOIN k USING (rep_id) GROUP BY minel HAVING count(*) > 3)
+SELECT minel, rep_id FROM edges WHERE NOT (minel IN (SELECT minel FROM big) AND rep_id IN (SELECT rep_id FROM k))""")
+def cut_overconnected(spark, sf_dir):
+    return C.cut_overconnected(save(C.minel_edges(_pairs(spark, sf_dir)[1]), "minel-edges"), 3)
+
+
+@query(M1 + """ SELECT rep_id, array_to_string(list_transform(list_distinct(list_transform(f, lambda x: split_part(x, ':', 1))), lambda g: g || ': {' || array_to_string(list_transform(list_filter(f, lambda x: starts_with(x, g || ':')), lambda x: split_part(x, ':', 2)), ',') || '}'), chr(10)) AS shown FROM reps WHERE n = 1""")
+def serialised(spark, sf_dir):
+    return X.record_reps(spark, sf_dir).where("n = 1").select("rep_id", T.serialise(F.col("features")).alias("shown"))
+
+
+@query("SELECT doc_id, regexp_replace(translate(replace(replace(replace(t, 'ß', 'ss'), 'æ', 'ae'), 'Æ', 'AE'), 'ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyy'), '[^\\x00-\\x7F]', '', 'g') AS folded FROM (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM documents)")
+def folded_titles(spark, sf_dir):
+    return X.publications(spark, sf_dir).select("doc_id", T.ascii_fold(F.col("title")).alias("folded"))
+
+
+@query("""WITH p AS (SELECT l_partkey AS term, l_suppkey AS other, round(1.0 / (1 + l_suppkey % 7), 6) AS similarity FROM lineitem GROUP BY ALL), f AS (SELECT l_suppkey AS other, count(*) AS freq FROM lineitem GROUP BY l_suppkey),
+r AS (SELECT term, other, freq * similarity AS raw FROM p JOIN f USING (other))
+SELECT term, other, round(raw / sum(raw) OVER (PARTITION BY term), 9) AS weight FROM r""")
+def transition_weights(spark, sf_dir):
+    lines = X.table(spark, sf_dir, "lineitem")
+    pairs = lines.select(F.col("l_partkey").alias("term"), F.col("l_suppkey").alias("other")).distinct().withColumn("similarity", F.round(1.0 / (1 + F.col("other") % 7), 6))
+    frequency = lines.groupBy(F.col("l_suppkey").alias("term")).agg(F.count("*").alias("freq"))
+    return P.transitions(pairs, frequency).withColumn("weight", F.round("weight", 9))
+
+
+@query(M1 + LABELS + """, s AS (SELECT label, count(*) AS size FROM comp GROUP BY label), o AS (SELECT rep_id, list_sort(list(DISTINCT minel)) AS e FROM edges GROUP BY rep_id)
+SELECT rep_id, label AS cluster, size, coalesce(len(e), 0) AS n_minels FROM comp JOIN s USING (label) LEFT JOIN o USING (rep_id)""")
+def duplicate_documents(spark, sf_dir):
+    """The JSON documents of all records, read back."""
+    reps, pairs = _pairs(spark, sf_dir)
+    edges = save(C.minel_edges(pairs), "minel-edges")
+    made = I.duplicate_documents(C.poset_components(reps, edges), edges)
+    doc = F.from_json("document", "id string, cluster string, size long, min_els array<string>").alias("d")
+    return made.select("rep_id", doc).select("rep_id", "d.cluster", "d.size", F.coalesce(F.size("d.min_els"), F.lit(0)).cast("long").alias("n_minels"))

@@ -75,9 +75,12 @@ def parse_config(text: str) -> dict:
 
 
 def duplicate_documents(components: DataFrame, minels: DataFrame) -> DataFrame:
-    """One JSON document for each record: id, its duplicates and minimal elements."""
-    groups = components.groupBy("label").agg(F.array_sort(F.collect_set("rep_id")).alias("members"))
+    """One JSON document for each record: id, the cluster that its duplicates share, the cluster's size and the record's minimal elements.
+
+    A cluster's members are the documents with its id: a list of them in each would grow with the square of a cluster.
+    """
+    sizes = components.groupBy("label").agg(F.count("*").alias("size"))
     own = minels.groupBy("rep_id").agg(F.array_sort(F.collect_set("minel")).alias("min_els"))
-    rows = components.join(groups, "label").join(own, "rep_id", "left")
-    doc = F.struct(F.col("rep_id").alias("id"), F.array_except("members", F.array("rep_id")).alias("duplicates"), "min_els", F.lit("duplicates").alias("class"))
+    rows = components.join(sizes, "label").join(own, "rep_id", "left")
+    doc = F.struct(F.col("rep_id").alias("id"), F.col("label").alias("cluster"), "size", "min_els", F.lit("duplicates").alias("class"))
     return rows.select("rep_id", F.to_json(doc).alias("document"))
