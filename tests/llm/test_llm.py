@@ -246,6 +246,36 @@ def test_hilbert(spark, docs, empty):
     assert hilbert.shard_documents(empty).count() == 0
 
 
+def test_shards_can_be_skipped(spark, docs, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, "x" * rng.randint(0, 50), rng.choice(["de", "en", "es", "fr"]), f"src{rng.randint(0, 9)}", rng.randint(1, 9999)) for i in range(4000)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    dealt = hilbert.shard_documents(many, 24)
+    sizes = {i: (len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t, *_ in rows}
+    assert all(sizes[r.doc_id] == (r.size, r.text_crc32) for r in dealt.collect())
+    ranges = hilbert.shard_ranges(dealt).collect()
+    assert sum(r.rows for r in ranges) == 4000 and sum(r.bytes for r in ranges) == sum(n for n, _ in sizes.values())
+    read = lambda d, v: sum(r[f"min_{d}"] <= v <= r[f"max_{d}"] for r in ranges)
+    # a filter on any one column leaves about the square or cube root of the shards out of 24
+    assert max(read("lang", v) for v in ("de", "en", "es", "fr")) <= 14
+    assert sum(read("source", f"src{k}") for k in range(10)) / 10 <= 14 and sum(read("n_chars", v) for v in range(1, 9999, 500)) / 20 <= 14
+    whole = docs.where("doc_id is not null").dropDuplicates(["doc_id"])  # it has a column called shard
+    out = str(tmp_path / "shards")
+    hilbert.write_shards(whole, hilbert.shard_documents(whole, 3), out)
+    back = spark.read.parquet(out)
+    assert back.count() == whole.count() and set(back.columns) == {*whole.columns, "shard_", "slot"} and {r.shard_ for r in back.select("shard_").distinct().collect()} == {0, 1, 2}
+
+
+def test_columns_of_any_name(spark, docs):
+    names = ["lost_doc_", "lost_twin_", "gone_", "doc_", "twin_", "tag", "left", "mark", "nth", "gone_id", "held_id_", "held_one_", "held_two_", "mark_", "DOC", "spread_"]
+    wide = docs.selectExpr("*", *(f"'v' as `{n}`" for n in names))
+    for made in (line_dedup.remove_lines(wide), near_dup.deduplicate(wide, 85, 100), quality.filter_documents(wide)):
+        assert made.columns == wide.columns and made.count() > 0
+    bench = wide.limit(1).selectExpr("1L as item_id", "'only these six words here now' as text")
+    for most in (1 << 20, 0):
+        assert decontaminate.drop_contaminated(wide, bench, send_bytes=most).columns == wide.columns
+
+
 def linked(sets, num):
     """For each set the least index reachable by similarity of ``num`` % or more; empty sets are linked with nothing."""
     least = list(range(len(sets)))

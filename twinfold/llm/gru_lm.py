@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_and_text, raw_bytes, save, slices
+from .wordhash import Runs, chunks
 
 END = b"\n"
 WORDS, BUCKETS = 991, 32
@@ -75,10 +76,13 @@ def count_words(docs: DataFrame) -> DataFrame:
             return out
 
         for batch in slices(batches, 1024):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), raw_bytes(batch.column("text")), strict=True):
-                if not held_out(doc):
-                    seen.update(text.lower().split())
-                    seen[END] += 1
+            ids = batch.column("doc_id").to_pylist()
+            own = [text.lower() for doc, text in zip(ids, raw_bytes(batch.column("text")), strict=True) if not held_out(doc)]
+            seen[END] += len(own)
+            for lo, hi in chunks(own, 1 << 20):
+                words, again = Runs(own[lo:hi], whole=True).different()
+                for word, n in zip(words, np.bincount(again, minlength=len(words)).tolist(), strict=True):
+                    seen[word] += n
             if len(seen) > 300_000:
                 yield flush()
         if seen:
@@ -127,6 +131,37 @@ def lexicon(counts: DataFrame) -> Lexicon:
     return Lexicon(common, total.tokens or 0, total.types, total.end, [sums.get(b, 0.0) + 0.5 for b in range(BUCKETS)])
 
 
+def _encoded(lex: Lexicon, docs: pa.Array, texts: list[bytes], row: int) -> pa.RecordBatch:
+    """Rows of some lower-cased texts; each different word is looked up once."""
+    runs = Runs(texts, whole=True)
+    words, again = runs.different()
+    find, n = lex.index.get, len(texts)
+    at = np.fromiter((find(w, -1) for w in words), np.int64, len(words))
+    known = at >= 0
+    output = np.fromiter((1 + bucket(w) if i < 0 else 0 for w, i in zip(words, at.tolist(), strict=True)), np.uint16, len(words))
+    output[known] = lex.output[at[known]]
+    inside = (output >= 1) & (output <= BUCKETS)
+    count = np.zeros(len(words))
+    count[known] = lex.log_count[at[known]]
+    within = np.where(inside, count, 0)
+    within[inside] -= lex.log_mass[output[inside] - 1]
+    doc = np.repeat(np.arange(n), np.diff(runs.first))
+    total = lambda values: np.bincount(doc, weights=values[again], minlength=n)
+    size = np.diff(runs.first) + 1
+    ids = output[again]
+    streams = [ids[a:b].tobytes() + b"\0\0" for a, b in zip(runs.first[:-1].tolist(), runs.first[1:].tolist(), strict=True)]
+    some = np.flatnonzero(~known[again])
+    pair, times = np.unique(doc[some] * len(words) + again[some], return_counts=True)
+    offsets = pa.array(np.searchsorted(pair, np.arange(n + 1) * max(1, len(words))), pa.int32())
+    rare = pa.array([words[i] for i in (pair % max(1, len(words))).tolist()], pa.binary())
+    columns = [
+        pa.array(np.arange(row, row + n)), docs, pa.array([held_out(d) for d in docs.to_pylist()], pa.bool_()), pa.array(size), pa.array(total(known).astype(np.int64) + int(lex.end > 0)),
+        pa.array(total(count) + lex.log_end - size * lex.log_all), pa.array(total(within)), pa.array(streams, pa.binary()),
+        pa.ListArray.from_arrays(offsets, rare), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32())),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ENCODED.split(", ")])
+
+
 ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_common long, base double, within double, ids binary, rare array<binary>, times array<int>"
 
 
@@ -135,28 +170,12 @@ def encode(docs: DataFrame, sent) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = sent.value
-        find, row = lex.index.get, TaskContext.get().partitionId() << 33
+        row = TaskContext.get().partitionId() << 33
         for batch in slices(batches, 1024):
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), raw_bytes(batch.column("text")), strict=True):
-                words = text.lower().split()
-                at = np.fromiter((find(w, -1) for w in words), np.int64, len(words))
-                known = at >= 0
-                ids = np.zeros(len(words) + 1, np.uint16)
-                ids[:-1][known] = lex.output[at[known]] if known.any() else 0
-                rare = [words[i] for i in np.flatnonzero(~known)]
-                if rare:
-                    ids[:-1][~known] = [1 + bucket(w) for w in rare]
-                times = Counter(rare)
-                place = ids[:-1].astype(np.int64) - 1
-                inside = (place >= 0) & (place < BUCKETS)
-                within = lex.log_count[at[known & inside]].sum() - lex.log_mass[place[inside]].sum()
-                base = lex.log_count[at[known]].sum() + lex.log_end - len(ids) * lex.log_all
-                rows.append((row, doc, held_out(doc), len(ids), int(known.sum()) + (lex.end > 0), float(base), float(within), ids.tobytes(), list(times), list(times.values())))
-                row += 1
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            columns = [pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ENCODED.split(", ")])
+            texts = [t.lower() for t in raw_bytes(batch.column("text"))]
+            for lo, hi in chunks(texts, 1 << 20):
+                yield _encoded(lex, batch.column("doc_id").slice(lo, hi - lo), texts[lo:hi], row)
+                row += hi - lo
 
     return id_and_text(docs).mapInArrow(each, ENCODED)
 

@@ -1,7 +1,8 @@
 """Sharding by Hilbert-curve ordering (operator 6), with DataFrame functions only.
 
 Each metadata column is quantised to ``2**bits`` cells: numbers by quantiles of
-the whole column, text by a hash, null always in cell 0. The cells' place on a
+the whole column, text in its order by the six bytes after the common
+beginning of all values, null always in cell 0. The cells' place on a
 Hilbert curve is found bit by bit; rows are dealt by ranges of (place, ties),
 numbered through prefix sums over the ranges' counts, and the numbered line is
 cut into runs of equal length. A run is compact in all columns at once, so that
@@ -15,23 +16,33 @@ ignored.
 
 from __future__ import annotations
 
+import os
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .common import save, shuffle_partitions
+from .common import fresh, save, shuffle_partitions
 
 BITS = 6
 
 
 def cell(df: DataFrame, column: str, bits: int = BITS) -> Column:
-    """The cell of a column: 1 to 2**bits - 1 by value, 0 for null. Numbers need one pass for their quantiles."""
-    if not isinstance(df.schema[column].dataType, NumericType):
-        spread = F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit((1 << bits) - 1)) + 1
-        return F.when(F.col(column).isNull(), 0).otherwise(spread).cast("int")
+    """The cell of a column: 1 to 2**bits - 1 in the order of its values, 0 for null; one pass for the quantiles, for text one for its bounds before."""
+    if isinstance(df.schema[column].dataType, NumericType):
+        value = F.col(column).cast("double")
+    else:  # the six bytes after what all values begin with, as a number
+        raw = F.col(column).cast("string").cast("binary")
+        least, most = df.agg(F.min(raw), F.max(raw)).first()
+        same = len(os.path.commonprefix([bytes(least or b""), bytes(most or b"")]))
+        value = F.conv(F.rpad(F.hex(F.substring(raw, same + 1, 6)), 12, "0"), 16, 10).cast("double")
     steps = [i / ((1 << bits) - 1) for i in range(1, (1 << bits) - 1)]
-    edges = df.agg(F.percentile_approx(F.col(column).cast("double"), steps, 10_000)).first()[0] or []
-    above = F.size(F.filter(F.array(*(F.lit(float(e)) for e in edges)), lambda e: e < F.col(column).cast("double"))) + 1 if edges else F.lit(1)
+    # quantiles that repeat stay, so that a few frequent values are spread over all cells
+    edges = df.agg(F.percentile_approx(value, steps, 10_000)).first()[0] or []
+    ascending = sorted(set(edges))
+    below = F.array(*(F.lit(1 + bisect_left(edges, e)) for e in [*ascending, float("inf")]))
+    above = F.element_at(below, F.size(F.filter(F.array(*(F.lit(float(e)) for e in ascending)), lambda e: e < value)) + 1) if edges else F.lit(1)
     return F.when(F.col(column).isNull(), 0).otherwise(above).cast("int")
 
 
@@ -72,24 +83,25 @@ def order_and_cut(rows: DataFrame, dims: list[str], shards: int, ties: list[str]
     several tasks. All further columns travel along: leave only small ones.
     """
     spark = rows.sparkSession
-    cells = [f"cell{i}_" for i in range(len(dims))]
+    cells = [fresh(rows, f"cell{i}_") for i in range(len(dims))]
+    curve, at, part_, base_, rank = (fresh(rows, c) for c in ("curve_", "at_", "part_", "base_", "rank_"))
     placed = rows.withColumns({c: cell(rows, d, bits) for c, d in zip(cells, dims, strict=True)})
-    placed = curve_index(placed, cells, bits, "curve_")
-    dealt = placed.repartitionByRange(shuffle_partitions(spark), "curve_", *ties).sortWithinPartitions("curve_", *ties)
+    placed = curve_index(placed, cells, bits, curve)
+    dealt = placed.repartitionByRange(shuffle_partitions(spark), curve, *ties).sortWithinPartitions(curve, *ties)
     # The number has the range above bit 33 and the row's place in it below; stored, so that it never changes.
-    dealt = save(dealt.withColumn("at_", F.monotonically_increasing_id()).drop("curve_"), "curve")
-    part, nth = F.shiftright("at_", 33), F.col("at_").bitwiseAND((1 << 33) - 1)
+    dealt = save(dealt.withColumn(at, F.monotonically_increasing_id()).drop(curve), "curve")
+    part, nth = F.shiftright(at, 33), F.col(at).bitwiseAND((1 << 33) - 1)
     counts = {r.part: r.n for r in dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one row for each range
     total, base = 0, []
     for p in sorted(counts):
         base.append((p, total))
         total += counts[p]
-    bases = spark.createDataFrame(base, "part_ long, base_ long")
-    numbered = dealt.withColumn("part_", part).join(F.broadcast(bases), "part_").withColumn("rank_", F.col("base_") + nth)
+    bases = spark.createDataFrame(base, f"`{part_}` long, `{base_}` long")
+    numbered = dealt.withColumn(part_, part).join(F.broadcast(bases), part_).withColumn(rank, F.col(base_) + nth)
     # shard s holds the ranks from ceil(s * total / shards) on
-    numbered = numbered.withColumn("shard", F.expr(f"(rank_ * {shards}) div {max(total, 1)}").cast("int"))
+    numbered = numbered.withColumn("shard", F.expr(f"(`{rank}` * {shards}) div {max(total, 1)}").cast("int"))
     first = F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")
-    return numbered.withColumn("slot", F.col("rank_") - first).drop("part_", "base_", "rank_", "at_")
+    return numbered.withColumn("slot", F.col(rank) - first).drop(part_, base_, rank, at)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, dims: tuple[str, ...] = ("lang", "source", "n_chars")) -> DataFrame:
@@ -106,7 +118,11 @@ def shard_ranges(sharded: DataFrame, dims: tuple[str, ...] = ("lang", "source",
 
 
 def write_shards(docs: DataFrame, sharded: DataFrame, out: str) -> None:
-    """Write the documents as one folder for each shard, in slot order; ids must be unique."""
-    at = sharded.select(F.col("doc_id").alias("id_"), "shard", "slot")
-    whole = docs.join(at, docs["doc_id"].eqNullSafe(F.col("id_"))).drop("id_")
-    whole.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(out)
+    """Write the documents as one folder for each shard, in slot order; ids must be unique.
+
+    A column of the documents that is called shard or slot keeps its name; the folders' column then has one more underscore.
+    """
+    key, shard, slot = (fresh(docs, c) for c in ("id_", "shard", "slot"))
+    at = sharded.select(F.col("doc_id").alias(key), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    whole = docs.join(at, docs["doc_id"].eqNullSafe(F.col(key))).drop(key)
+    whole.repartition(shard).sortWithinPartitions(shard, slot).write.partitionBy(shard).parquet(out)

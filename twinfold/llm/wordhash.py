@@ -104,40 +104,56 @@ _KIND[39] = 0
 class Runs:
     """Runs of several texts: a word of plain characters gives its runs of letters,
     of digits and of marks, any other word is one run. ``start`` and ``end`` (bytes
-    in ``data``), ``at`` (where texts begin), ``first`` (index of each text's first run, and the end)."""
+    in ``data``), ``at`` (where texts begin), ``first`` (index of each text's first run, and the end).
+    With ``whole`` every word is one run."""
 
-    def __init__(self, texts: list[bytes], joint: bytes = b"\n"):
+    def __init__(self, texts: list[bytes], joint: bytes = b"\n", whole: bool = False):
         self.data = joint.join(texts) + joint
         self.buf = np.frombuffer(self.data + bytes(8), np.uint8)
         buf = self.buf[:-8]
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         self.at = np.concatenate([[0], np.cumsum(lengths)])
         space = _IS_SPACE[buf]
+        edge = np.empty(len(buf) + 1, bool)
+        edge[0], edge[-1] = not space[0], not space[-1]
+        np.not_equal(space[1:], space[:-1], out=edge[1:-1])
+        bounds = np.flatnonzero(edge)
+        self.start, self.end = bounds[0::2], bounds[1::2]
+        if not whole:
+            self._cut(buf, space)
+        self.first = np.searchsorted(self.start, self.at)
+        # eight bytes from each place on
+        self.eight = np.ndarray((len(self.data) + 1,), "<u8", self.buf, strides=(1,))
+
+    def _cut(self, buf: np.ndarray, space: np.ndarray) -> None:
+        words = self.start
         kind = _KIND[buf]
         high = np.flatnonzero(buf >= 0x80)
         if len(high):
             plain = _LATIN[buf[high].astype(np.int32) << 8 | self.buf[high + 1]]
             kind[high[plain]] = kind[high[plain] + 1] = 1
-        edge = np.empty(len(buf) + 1, bool)
-        edge[0], edge[-1] = not space[0], not space[-1]
-        np.not_equal(space[1:], space[:-1], out=edge[1:-1])
-        bounds = np.flatnonzero(edge)
-        words, ends = bounds[0::2], bounds[1::2]
         # inside a word with anything that isn't plain there are no edges
         odd = np.flatnonzero((kind == 0) & ~space)
         broken = np.unique(np.searchsorted(words, odd, side="right") - 1)
         change = np.flatnonzero((kind[1:] != kind[:-1]) & ~space[1:] & ~space[:-1]) + 1
         if len(broken):
             change = change[~np.isin(np.searchsorted(words, change, side="right") - 1, broken)]
-        self.start, self.end = np.sort(np.concatenate([words, change])), np.sort(np.concatenate([ends, change]))
-        self.first = np.searchsorted(self.start, self.at)
-        # eight bytes from each place on
-        self.eight = np.ndarray((len(self.data) + 1,), "<u8", self.buf, strides=(1,))
+        self.start, self.end = np.sort(np.concatenate([words, change])), np.sort(np.concatenate([self.end, change]))
 
     def lone_space(self) -> np.ndarray:
         """Whether each run follows a space."""
         return (self.buf[np.maximum(self.start - 1, 0)] == 32) & (self.start > 0)
 
+    def different(self) -> tuple[list[bytes], np.ndarray]:
+        """The different words, and each word's index among them."""
+        key, check = self.keys(np.uint64(0))
+        key, one, again = np.unique(key, return_index=True, return_inverse=True)
+        if (check[one][again] != check).any():  # two words of one hash
+            index: dict[bytes, int] = {}
+            again = np.asarray([index.setdefault(self.data[a:b], len(index)) for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True)])
+            return list(index), again
+        return [self.data[a:b] for a, b in zip(self.start[one].tolist(), self.end[one].tolist(), strict=True)], again
+
     def keys(self, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Two 64-bit hashes of each run, its length and ``lead``."""
         left = self.end - self.start
