@@ -237,40 +237,47 @@ class Gru:
         return states, kept
 
     def outputs(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None):
-        """Natural log probabilities of y after states h; with ``grad`` also the loss's gradient at h."""
+        """Natural log probabilities of y after states h; with ``grad`` also the loss's gradient at h.
+
+        Classes and words stand in rows, tokens in columns: sums and maxima over rows run along memory.
+        """
         c, o = self.w["C"], self.w["O"]
         k, within = y // IN_CLASS, y % IN_CLASS
-        logits = h @ c + self.w["c"]
-        logits -= logits.max(1, keepdims=True)
-        p = np.exp(logits)
-        total = p.sum(1, keepdims=True)
-        rows = np.arange(len(y))
-        logp = logits[rows, k] - np.log(total[:, 0])
+        order = np.argsort(k, kind="stable")
+        h, k, within = h[order], k[order], within[order]
+        every = np.arange(len(y))
+        logits = c.T @ h.T + self.w["c"][:, None]
+        logits -= logits.max(axis=0)
+        logp = logits[k, every]
+        p = np.exp(logits, out=logits)
+        total = p.sum(axis=0)
+        logp -= np.log(total)
         if grad is not None:
             p /= total
-            p[rows, k] -= 1
-            grad["C"], grad["c"] = h.T @ p, p.sum(0)
-            dh = p @ c.T
+            p[k, every] -= 1
+            grad["C"], grad["c"] = (p @ h).T, p.sum(axis=1)
+            dh = p.T @ c.T
             grad["O"], grad["o"] = np.zeros_like(o), np.zeros_like(self.w["o"])
-        order = np.argsort(k, kind="stable")
-        cut = np.searchsorted(k[order], np.arange(CLASSES + 1))
+        cut = np.searchsorted(k, np.arange(CLASSES + 1)).tolist()
         for i in range(CLASSES):
-            own = order[cut[i] : cut[i + 1]]
-            if not len(own):
+            lo, hi = cut[i], cut[i + 1]
+            if lo == hi:
                 continue
-            hi = h[own]
-            q = hi @ o[i] + self.w["o"][i]
-            q -= q.max(1, keepdims=True)
-            e = np.exp(q)
-            s = e.sum(1, keepdims=True)
-            at = np.arange(len(own))
-            logp[own] += q[at, within[own]] - np.log(s[:, 0])
+            q = o[i].T @ h[lo:hi].T + self.w["o"][i][:, None]
+            q -= q.max(axis=0)
+            own, at = within[lo:hi], every[: hi - lo]
+            logp[lo:hi] += q[own, at]
+            e = np.exp(q, out=q)
+            s = e.sum(axis=0)
+            logp[lo:hi] -= np.log(s)
             if grad is not None:
                 e /= s
-                e[at, within[own]] -= 1
-                grad["O"][i], grad["o"][i] = hi.T @ e, e.sum(0)
-                dh[own] += e @ o[i].T
-        return (logp, dh) if grad is not None else logp
+                e[own, at] -= 1
+                grad["O"][i], grad["o"][i] = (e @ h[lo:hi]).T, e.sum(axis=1)
+                dh[lo:hi] += (o[i] @ e).T
+        back = np.empty_like(order)
+        back[order] = every
+        return (logp[back], dh[back]) if grad is not None else logp[back]
 
     def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray):
         """Truncated backpropagation over one window: mean gradients, the last state, the summed log probability."""
