@@ -10,6 +10,7 @@ from twinfold.functions import udfs as U
 from twinfold.operators import containment as C
 from twinfold.operators import evaluate as E
 from twinfold.operators import generalize as G
+from twinfold.operators import mentions as M
 from twinfold.operators import phrases as P
 from twinfold.operators import represent as R
 from twinfold.operators import simhash as H
@@ -211,3 +212,56 @@ def test_sweep_of_the_reference_settings(spark, tmp_path):
     found = {(r.min_gold, r.max_gold, r.max_label): r.t for r in Q.QUERIES["eval_sweep_reference"](spark, str(tmp_path)).collect()}
     assert set(found) == {(a, b, c) for a in (1, 2) for b in (10, 25, 50, 100, 1000, 10000) for c in (10, 100, 1000, 10000, 100000, 1000000)}
     assert all(t == (4 if b <= 100 else 4 + 120**2) for (_, b, _), t in found.items())
+
+
+def test_author_particles_and_dots():
+    assert U.parse_author("Berg, van der Jan") == ("der", "j", "jan")
+    assert U.split_author("Berg, van der Jan") == ("van der", "j", "jan")
+    assert U.parse_author("Müller, Jean-Paul") == ("muller", "j", "jean-paul") and U.parse_author("Müller, J-Paul") == ("muller", "j", None)
+    assert U.parse_author("J.P., Smith") == ("smith", "j", None) and U.parse_author("Garcia Marquez, Gabriel") == ("marquez", "g", "gabriel")
+    assert U.parse_author("Unknown Person") == ("person", "u", None) and U.parse_author(" ,") == (None, None, None)
+
+
+def test_mentions(spark):
+    schema = "coreId string, doi string, title string, datePublished string, authors array<string>"
+    rows = [("1", "d", "A  Title", "2020-05", ["Smith, Anna", "X, Bob", None]), ("2", None, None, None, None), ("3", "", "T", "20", [])]
+    surnames, firsts = spark.createDataFrame([("anna", 9), ("smith", 1)], "name string, freq long"), spark.createDataFrame([("smith", 9), ("anna", 1)], "name string, freq long")
+    got = {r.mention_id: r for r in M.publication_mentions(spark.createDataFrame(rows, schema), surnames, firsts).collect()}
+    assert len(got["1"]) == 31 and (got["1"].title, got["1"].year1, got["1"].year2) == ("a title", 20192020, 20202021)
+    assert (got["1"].a1sur, got["1"].a1init, got["1"].a1first, got["1"].a2sur, got["1"].a3sur) == ("anna", "anna_s", "anna_smith", "bob", None)
+    assert (got["1"].term1, got["1"].term2, got["1"].term3) == ("a", "title", None)
+    assert got["2"].a1sur is None and got["2"].title is None and got["3"].gold_id is None and got["3"].year1 is None
+    plain = {r.mention_id: r for r in M.publication_mentions(spark.createDataFrame(rows, schema)).collect()}
+    assert plain["1"].a1first == "smith_anna"
+    assert M.publication_mentions(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_similar_fingerprints_by_all_pairs(spark):
+    rng = random.Random(3)
+    hashes = [rng.getrandbits(64) for _ in range(40)]
+    hashes += [h ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 9))) for h in hashes for _ in range(3)]
+    signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+    df = spark.createDataFrame([(f"{i:03}", h) for i, h in enumerate(signed)], "rep_id string, hash long")
+    for k in (3, 7):
+        want = {(f"{i:03}", f"{j:03}") for j in range(len(hashes)) for i in range(j) if 0 < (hashes[i] ^ hashes[j]).bit_count() <= k}
+        assert {tuple(r) for r in H.similar_pairs(df, k).collect()} == want
+    assert {len(r.label) for r in H.hyperplane_labels(reps_of(spark, ["ab", "c"]), 100).collect()} == {100}
+
+
+def test_replacements_in_a_circle_raise(spark):
+    words = spark.createDataFrame([(1, 0, "a")], "id long, pos int, term string")
+    chain = spark.createDataFrame([(f"{'abcdefgh'[i]}", "abcdefgh"[i + 1]) for i in range(7)], "term string, chosen string")
+    assert P.replace_until_stable(words, chain).first().term == "h"
+    with pytest.raises(ValueError):
+        P.replace_until_stable(words, spark.createDataFrame([("a", "b"), ("b", "a")], "term string, chosen string"), rounds=3)
+
+
+def test_verified_groups(spark):
+    rows = [("g", "s1", 2000, "On the Origin"), ("g", "s2", 2001, "on the orgiin"), ("h", "s1", None, "Same"), ("h", "s2", None, "same thing again"), ("i", "s1", 2000, "one"), ("i", "s1", 2000, "one"), ("j", "s1", 1, "alone"), ("k", "s1", 1, None), ("k", "s2", 1, "x")]
+    got = {r.gold_id: r.verified for r in S.verify_groups(spark.createDataFrame(rows, "gold_id string, source string, year int, title string")).collect()}
+    assert got == {"g": True, "h": True, "i": False, "k": False}
+
+
+def test_node_levels(spark):
+    reps = reps_of(spark, ["a", "ab", "b", "abc", "x"])
+    assert {r.rep_id: r.level for r in C.node_levels(reps, C.containment_pairs(reps)).collect()} == {"a": 0, "b": 0, "ab": 1, "abc": 2, "x": 0}

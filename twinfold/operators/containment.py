@@ -109,6 +109,19 @@ def levels(pairs: DataFrame) -> DataFrame:
     return seen.select(F.col("from").alias("rep_id"), F.col("to").alias("general"), "level")
 
 
+def node_levels(reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rep_id, level): the longest chain of inclusions that ends in each set; sets that include none are at 0. Rounds are bounded by the longest chain."""
+    edges = direct_edges(pairs)
+    now = save(reps.where("n > 0").select("rep_id", F.lit(0).alias("level")), "node-levels")
+    front = now
+    while True:
+        deeper = edges.join(front.select(F.col("rep_id").alias("sub"), "level"), "sub").groupBy(F.col("sup").alias("rep_id")).agg((F.max("level") + 1).alias("level"))
+        front = save(deeper, "node-front")  # a chain one longer than the last round's ends in each of these
+        if front.isEmpty():
+            return now
+        now = save(now.join(front.withColumnRenamed("level", "new"), "rep_id", "left").select("rep_id", F.coalesce("new", "level").alias("level")), "node-levels")
+
+
 def gini(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Gini coefficient of a column within groups: (2 * sum(i * x_i) / (n * sum(x)) - (n + 1) / n).
 

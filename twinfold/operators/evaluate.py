@@ -123,3 +123,14 @@ def minel_combinations(edges: DataFrame, mapped: DataFrame) -> DataFrame:
     combos = edges.groupBy("rep_id").agg(F.array_join(F.array_sort(F.collect_set("minel")), ",").alias("comb"))
     rows = mapped.where("gold_id is not null").join(combos, "rep_id", "left").withColumn("comb", F.coalesce("comb", "rep_id"))
     return rows.groupBy("gold_id", "comb").agg(F.count("*").alias("freq"))
+
+
+def combination_rates(combinations: DataFrame) -> DataFrame:
+    """One row: pairwise counts of the blocks that the combinations make, their precision and recall over all pairs (micro), and the mean precision of a block (macro)."""
+    c = F.col("freq")
+    blocks = combinations.groupBy("comb").agg(F.sum(c).alias("size"), F.sum(c * c).alias("tp"))
+    square = F.col("size") * F.col("size")
+    p = blocks.agg(F.sum("tp").alias("tp"), F.sum(square).alias("p"), F.round(F.avg(F.col("tp") / square), 6).alias("macro_prec"))
+    t = combinations.groupBy("gold_id").agg(F.sum(c).alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("t"))
+    rates = p.crossJoin(t)  # one row each
+    return rates.select("tp", "p", "t", percent(F.col("tp"), F.col("p")).alias("micro_prec"), percent(F.col("tp"), F.col("t")).alias("micro_rec"), "macro_prec")

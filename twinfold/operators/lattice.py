@@ -6,7 +6,6 @@ those with more than ``max_nodes`` representations are reported, not refined.
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,7 +17,22 @@ RESULT = "label string, iteration int, thr double, blocks int, prec double, rec
 def _steps(spec: np.ndarray) -> np.ndarray:
     """The direct steps of an order."""
     strict = spec & ~np.eye(len(spec), dtype=bool)
-    return strict & ~((strict.astype(int) @ strict.astype(int)) > 0)
+    return strict & ~_product(strict)
+
+
+def _product(a: np.ndarray) -> np.ndarray:
+    """The relation twice in a row. Counts of ways stay whole in 32-bit floats, whose products are fast."""
+    f = a.astype(np.float32)
+    return f @ f > 0.5
+
+
+def _inclusion(sets: list[frozenset]) -> np.ndarray:
+    """Which sets are in which, from the sizes of their intersections."""
+    index = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    table = np.zeros((len(sets), len(index)), np.float32)
+    for i, s in enumerate(sets):
+        table[i, [index[x] for x in s]] = 1
+    return table @ table.T >= table.sum(axis=1)[:, None]
 
 
 def _weights(spec: np.ndarray, step: np.ndarray, obs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,7 +46,7 @@ def _weights(spec: np.ndarray, step: np.ndarray, obs: np.ndarray) -> tuple[np.nd
 
 def _closure(spec: np.ndarray) -> np.ndarray:
     while True:
-        more = (spec.astype(int) @ spec.astype(int)) > 0
+        more = _product(spec)
         if (more == spec).all():
             return spec
         spec = more
@@ -84,7 +98,7 @@ def refine(nodes: pd.DataFrame, step: float = 0.01, max_size: float = 1000, disc
         for gold, freq in zip(g.gold, g.freq, strict=True):
             if isinstance(gold, str):
                 cells[i, golds[gold]] += freq
-    spec = np.asarray([[a <= b for b in features] for a in features])
+    spec = _inclusion(features)
     direct, found = _steps(spec), (int((cells.sum(1) > 0).sum()), *block_rates(cells))
     out = []
     for it in range(1, int(round(1 / step)) + 1):
@@ -113,7 +127,7 @@ def refine(nodes: pd.DataFrame, step: float = 0.01, max_size: float = 1000, disc
     return out
 
 
-def disambiguate(reps: DataFrame, components: DataFrame, golds: DataFrame, max_nodes: int = 2000, step: float = 0.01, max_size: float = 1000) -> DataFrame:
+def disambiguate(reps: DataFrame, components: DataFrame, golds: DataFrame, max_nodes: int = 6000, step: float = 0.01, max_size: float = 1000) -> DataFrame:
     """Results by iteration for every component of at most ``max_nodes`` representations.
 
     ``golds`` has rep_id, gold_id, freq. Larger components have one row with

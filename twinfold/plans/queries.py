@@ -525,3 +525,23 @@ def duplicate_documents(spark, sf_dir):
     made = I.duplicate_documents(C.poset_components(reps, edges), edges)
     doc = F.from_json("document", "id string, cluster string, size long, min_els array<string>").alias("d")
     return made.select("rep_id", doc).select("rep_id", "d.cluster", "d.size", F.coalesce(F.size("d.min_els"), F.lit(0)).cast("long").alias("n_minels"))
+
+
+@query(M1 + _WEIGHTS + """, walk AS (SELECT rep_id, 0 AS level FROM reps WHERE n > 0 UNION SELECT d.sup, level + 1 FROM walk JOIN direct d ON d.sub = walk.rep_id)
+SELECT rep_id, CAST(max(level) AS INTEGER) AS level FROM walk GROUP BY rep_id""")
+def node_levels(spark, sf_dir):
+    return C.node_levels(*_pairs(spark, sf_dir))
+
+
+_TRUTH = EDGES + """, combos AS (SELECT rep_id, array_to_string(list_sort(list(minel)), ',') AS comb FROM edges GROUP BY rep_id),
+cells AS (SELECT coalesce(comb, rep_id) AS comb, gold_id, count(*) AS c FROM mapped LEFT JOIN combos USING (rep_id) GROUP BY ALL),
+k AS (SELECT sum(c) AS size, max(c) AS best, sum(c * c) AS tp FROM cells GROUP BY comb), g AS (SELECT sum(c) AS s FROM cells GROUP BY gold_id)"""
+
+
+@query(M1 + _TRUTH + """ SELECT CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(size * size) AS BIGINT) AS p, CAST((SELECT sum(s * s) FROM g) AS BIGINT) AS t,
+  floor(10000 * sum(tp) / sum(size * size)) / 100 AS micro_prec, floor(10000 * sum(tp) / (SELECT sum(s * s) FROM g)) / 100 AS micro_rec, round(avg(tp / (size * size)), 6) AS macro_prec FROM k""")
+def minel_combination_rates(spark, sf_dir):
+    """Pairwise rates of the blocks that minimal-element combinations make."""
+    mapped = save(X.record_mentions(spark, sf_dir), "mentions")
+    edges = C.minel_edges(save(C.containment_pairs(save(R.represent(mapped), "reps")), "pairs"))
+    return E.combination_rates(E.minel_combinations(edges, mapped))
