@@ -39,10 +39,19 @@ def pair_counts(rows: DataFrame, by: str) -> DataFrame:
     return p.crossJoin(t)  # one row each
 
 
+def gold_pairs(sizes: DataFrame) -> DataFrame:
+    """One row: T from the sizes (c) of the gold groups."""
+    return sizes.agg(F.sum(F.col("c") * F.col("c")).alias("t"))
+
+
+def pair_rates(counts: DataFrame) -> DataFrame:
+    return counts.select("t", "p", "tp", "used", percent(F.col("tp"), F.col("p")).alias("prec"), percent(F.col("tp"), F.col("t")).alias("rec"))
+
+
 def pairwise(labelled: DataFrame, min_gold: int = 1, max_gold: int | None = None, max_label: int | None = None) -> DataFrame:
     """Precision and recall of the clusters, clusters over ``max_label`` split into their representations."""
     rows = _gold(_effective(labelled, max_label), min_gold, max_gold)
-    return pair_counts(rows, "cluster").select("t", "p", "tp", "used", percent(F.col("tp"), F.col("p")).alias("prec"), percent(F.col("tp"), F.col("t")).alias("rec"))
+    return pair_rates(pair_counts(rows, "cluster"))
 
 
 def rep_baseline(labelled: DataFrame, min_gold: int = 1, max_gold: int | None = None) -> DataFrame:
@@ -51,27 +60,54 @@ def rep_baseline(labelled: DataFrame, min_gold: int = 1, max_gold: int | None =
     return counts.select("t", "p", "tp", percent(F.col("tp"), F.col("p")).alias("prec"), percent(F.col("tp"), F.col("t")).alias("rec"), percent(F.col("used"), F.col("t")).alias("base_rec"))
 
 
+def cells(labelled: DataFrame) -> DataFrame:
+    """Mentions by label, representation and gold id (c), with those of the label (nl) and of the label and gold id (nc)."""
+    counted = labelled.groupBy("label", "rep_id", "gold_id").agg(F.count("*").alias("c"))
+    label_sizes = counted.groupBy("label").agg(F.sum("c").alias("nl"))
+    both = counted.groupBy("label", "gold_id").agg(F.sum("c").alias("nc"))
+    return counted.join(label_sizes, "label").join(both, ["label", "gold_id"])
+
+
+def gold_sized(counted: DataFrame) -> DataFrame:
+    """Cells with the mentions of their gold id (ng)."""
+    return counted.join(counted.groupBy("gold_id").agg(F.sum("c").alias("ng")), "gold_id")
+
+
 def sweep(labelled: DataFrame, min_golds: list[int], max_golds: list[int], max_labels: list[int]) -> DataFrame:
-    """Pairwise results for all settings in one pass over (label, rep, gold) counts.
+    """Pairwise results for all settings in one pass over (label, rep, gold) counts."""
+    return sweep_cells(gold_sized(cells(labelled)), min_golds, max_golds, max_labels)
+
 
-    Counts of cells with their label and gold sizes are made once; each cell is
-    then repeated for the settings, a fixed number, and summed in two steps.
+def sweep_cells(sized: DataFrame, min_golds: list[int], max_golds: list[int], max_labels: list[int]) -> DataFrame:
+    """``sweep`` from cells, which are never repeated for the settings.
+
+    The limits cut gold sizes into a few bands. Each representation and each label
+    has the sum of its mentions by band, and a setting's pairs are squares of sums
+    of neighbouring bands; what has the same gold id adds up over bands. Labels are
+    then summed by the band of their own size.
     """
-    spark = labelled.sparkSession
-    cells = labelled.groupBy("label", "rep_id", "gold_id").agg(F.count("*").alias("c"))
-    label_sizes = labelled.groupBy("label").agg(F.count("*").alias("label_size"))
-    gold_sizes = labelled.groupBy("gold_id").agg(F.count("*").alias("gold_size"))
-    cells = cells.join(label_sizes, "label").join(gold_sizes, "gold_id")
-    golds = F.array(*(F.struct(F.lit(a).alias("min_gold"), F.lit(b).alias("max_gold")) for a in min_golds for b in max_golds))
-    labels = F.array(*(F.lit(x) for x in max_labels))
-    wide = cells.withColumn("g", F.explode(golds)).where("gold_size between g.min_gold and g.max_gold").withColumn("max_label", F.explode(labels))
-    big = F.col("label_size") > F.col("max_label")
-    wide = wide.select("g.min_gold", "g.max_gold", "max_label", F.when(big, F.concat(F.lit("r"), "rep_id")).otherwise(F.concat(F.lit("l"), "label")).alias("cluster"), "gold_id", "c")
+    cuts = sorted({*min_golds, *(m + 1 for m in max_golds)})
+    bands = range(len(cuts) - 1)
+    legal = {(a, b): [i for i in bands if a <= cuts[i] and cuts[i + 1] <= b + 1] for a in min_golds for b in max_golds}
+    inside = lambda i: F.col("ng").between(cuts[i], cuts[i + 1] - 1)
+    add = lambda names: sum(names, F.lit(0).cast("long"))
+    c = F.col("c")
+    rows = sized.select("label", "rep_id", "c", "nl", "nc", "ng").repartition("label")
+    each = {"c": c, "w": c * F.col("nc"), "v": c * c, "t": c * F.col("ng")}
+    reps = rows.groupBy("label", "rep_id").agg(F.max("nl").alias("nl"), *(F.sum(F.when(inside(i), x).otherwise(0)).alias(f"{k}{i}") for k, x in each.items() for i in bands))
+    whole = {j: add(F.col(f"c{i}") for i in own) for j, own in enumerate(legal.values())}
+    labels = reps.groupBy("label").agg(F.max("nl").alias("nl"), *(F.sum(f"{k}{i}").alias(f"{k}{i}") for k in each for i in bands), *(F.sum(x * x).alias(f"q{j}") for j, x in whole.items()))
+    over = add(F.when(F.col("nl") > m, 1).otherwise(0) for m in sorted(max_labels)).alias("over")
+    sums = labels.groupBy(over).agg(*(F.sum(f"{k}{i}").alias(f"{k}{i}") for k in "wvt" for i in bands), *(F.sum(x * x).alias(f"p{j}") for j, x in whole.items()), *(F.sum(f"q{j}").alias(f"q{j}") for j in whole))
+    settings = []
+    for j, ((a, b), own) in enumerate(legal.items()):
+        of = lambda k: add(F.col(f"{k}{i}") for i in own)  # noqa: B023, E731
+        for m in max_labels:
+            split = F.col("over") > sorted(max_labels).index(m)
+            settings.append(F.struct(F.lit(a).alias("min_gold"), F.lit(b).alias("max_gold"), F.lit(m).alias("max_label"), of("t").alias("t"), F.when(split, F.col(f"q{j}")).otherwise(F.col(f"p{j}")).alias("p"), F.when(split, of("v")).otherwise(of("w")).alias("tp")))
     keys = ["min_gold", "max_gold", "max_label"]
-    both = wide.groupBy(*keys, "cluster", "gold_id").agg(F.sum("c").alias("c"))
-    p = both.groupBy(*keys, "cluster").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("tp")).groupBy(*keys).agg(F.sum(F.col("c") * F.col("c")).alias("p"), F.sum("tp").alias("tp"))
-    t = both.groupBy(*keys, "gold_id").agg(F.sum("c").alias("c")).groupBy(*keys).agg(F.sum(F.col("c") * F.col("c")).alias("t"))
-    return p.join(t, keys).select(*keys, "t", "p", "tp", percent(F.col("tp"), F.col("p")).alias("prec"), percent(F.col("tp"), F.col("t")).alias("rec"))
+    found = sums.select(F.inline(F.array(*settings))).groupBy(*keys).agg(*(F.sum(x).alias(x) for x in ("t", "p", "tp"))).where("t > 0")
+    return found.select(*keys, "t", "p", "tp", percent(F.col("tp"), F.col("p")).alias("prec"), percent(F.col("tp"), F.col("t")).alias("rec"))
 
 
 def core_counts(labelled: DataFrame, id: str = "mention_id") -> DataFrame:
@@ -81,14 +117,14 @@ def core_counts(labelled: DataFrame, id: str = "mention_id") -> DataFrame:
     as large as the union with its gold group. Sizes come from group counts, so
     no duplicate pair is ever listed.
     """
-    label_sizes = labelled.groupBy("label").agg(F.count("*").alias("nl"))
-    gold_sizes = labelled.groupBy("gold_id").agg(F.count("*").alias("ng"))
-    cell_sizes = labelled.groupBy("label", "gold_id").agg(F.count("*").alias("nc"))
-    # nl - 1 others share the label, ng - 1 the gold id, nc - 1 both
-    cells = cell_sizes.join(label_sizes, "label").join(gold_sizes, "gold_id")
+    return core_cells(gold_sized(cells(labelled)))
+
+
+def core_cells(sized: DataFrame) -> DataFrame:
+    """``core_counts`` from cells: nl - 1 others share the label, ng - 1 the gold id, nc - 1 both."""
     in_label, in_gold, union = F.col("nl") > 1, F.col("ng") > 1, F.col("nl") + F.col("ng") - F.col("nc")
-    count = lambda c: F.sum(F.when(c, F.col("nc")).otherwise(0))
-    return cells.agg(
+    count = lambda c: F.sum(F.when(c, F.col("c")).otherwise(0))
+    return sized.agg(
         count(in_label & (F.col("nl") == union)).alias("tp"), count(in_label & (F.col("nl") < union)).alias("fp"), count(~in_label & ~in_gold).alias("tn"), count(~in_label & in_gold).alias("fn")
     )
 
@@ -114,8 +150,10 @@ def report_table(results: DataFrame) -> DataFrame:
 
 
 def gold_labels(labelled: DataFrame) -> DataFrame:
-    """Each gold id with its distinct labels, sorted."""
-    return labelled.groupBy("gold_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.countDistinct("label").alias("n_labels"))
+    """Each gold id with its distinct labels, sorted; binary ones are shown as hexadecimal digits."""
+    found = labelled.groupBy("gold_id").agg(F.array_sort(F.collect_set("label")).alias("found"))
+    texts = F.transform("found", lambda x: F.lower(F.hex(x))) if dict(labelled.dtypes)["label"] == "binary" else F.col("found")
+    return found.select("gold_id", F.array_join(texts, ",").alias("labels"), F.size("found").cast("long").alias("n_labels"))
 
 
 def minel_combinations(edges: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -132,5 +170,8 @@ def combination_rates(combinations: DataFrame) -> DataFrame:
     square = F.col("size") * F.col("size")
     p = blocks.agg(F.sum("tp").alias("tp"), F.sum(square).alias("p"), F.round(F.avg(F.col("tp") / square), 6).alias("macro_prec"))
     t = combinations.groupBy("gold_id").agg(F.sum(c).alias("s")).agg(F.sum(F.col("s") * F.col("s")).alias("t"))
-    rates = p.crossJoin(t)  # one row each
+    return combination_percents(p.crossJoin(t))  # one row each
+
+
+def combination_percents(rates: DataFrame) -> DataFrame:
     return rates.select("tp", "p", "t", percent(F.col("tp"), F.col("p")).alias("micro_prec"), percent(F.col("tp"), F.col("t")).alias("micro_rec"), "macro_prec")

@@ -19,6 +19,12 @@ def features(groups: dict[str, list[Column]]) -> Column:
     return bundle(*cells)
 
 
+def text(groups: dict[str, Column]) -> Column:
+    """Sorted ``group:value`` strings joined by UNIT, where every group has one column: what ``rep_id`` is the hash of."""
+    ordered = sorted(groups, key=lambda g: f"{g}:".encode())
+    return F.concat_ws(UNIT, *(F.concat(F.lit(f"{g}:"), groups[g].cast("string")) for g in ordered))
+
+
 def rep_id(features: Column | str) -> Column:
     return F.sha1(F.array_join(features, UNIT).cast("binary"))
 

@@ -42,3 +42,10 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def save_only(df: DataFrame, name: str) -> DataFrame:
+    """``save``, after which the shuffle files of what led there go: Spark drops them only when the driver collects garbage."""
+    saved = save(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return saved

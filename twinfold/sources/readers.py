@@ -81,6 +81,10 @@ def duplicate_documents(components: DataFrame, minels: DataFrame) -> DataFrame:
     """
     sizes = components.groupBy("label").agg(F.count("*").alias("size"))
     own = minels.groupBy("rep_id").agg(F.array_sort(F.collect_set("minel")).alias("min_els"))
-    rows = components.join(sizes, "label").join(own, "rep_id", "left")
+    return as_documents(components.join(sizes, "label").join(own, "rep_id", "left"))
+
+
+def as_documents(rows: DataFrame) -> DataFrame:
+    """The documents of rows with rep_id, label, size and min_els."""
     doc = F.struct(F.col("rep_id").alias("id"), F.col("label").alias("cluster"), "size", "min_els", F.lit("duplicates").alias("class"))
     return rows.select("rep_id", F.to_json(doc).alias("document"))
