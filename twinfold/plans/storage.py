@@ -7,8 +7,10 @@ used only where that setting is absent (local tests).
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,5 +49,8 @@ def save(df: DataFrame, name: str) -> DataFrame:
 def save_only(df: DataFrame, name: str) -> DataFrame:
     """``save``, after which the shuffle files of what led there go: Spark drops them only when the driver collects garbage."""
     saved = save(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first finds unused the second frees
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(1)
     return saved
